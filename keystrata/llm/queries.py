@@ -4,7 +4,7 @@ from pathlib import Path
 
 import public_tokenizers
 
-from keystrata.llm import bpe_codec, media_ts, quality_forest, token_counts
+from keystrata.llm import bpe_codec, media_ts, quality_forest, substring_dedup, token_counts
 
 
 def table(spark, sf_dir, name):
@@ -16,6 +16,10 @@ def vocabulary(name):
     return Path(public_tokenizers.path(name)).read_text()
 
 
+def op3_substring_dedup(spark, sf_dir):
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op4_media_ts(spark, sf_dir):
     return media_ts.text_features(table(spark, sf_dir, "documents"))
 
@@ -32,5 +36,5 @@ def op10_bpe_codec(spark, sf_dir):
     return bpe_codec.encode_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_media_ts, op7_quality_forest, op9_token_counts, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op3_substring_dedup, op4_media_ts, op7_quality_forest, op9_token_counts, op10_bpe_codec)}
 ORACLES: dict[str, str] = {}

@@ -138,3 +138,68 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
+
+
+def put_varints(values: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    """LEB128 bytes of uint64 values, cut before each value number in ``cuts``."""
+    v = values.astype(np.uint64)
+    size = np.ones(len(v), np.int64)
+    rest = v >> np.uint64(7)
+    while rest.any():
+        size += rest > 0
+        rest >>= np.uint64(7)
+    at = np.concatenate([[0], np.cumsum(size)])
+    out = np.zeros(int(at[-1]), np.uint8)
+    todo = np.arange(len(v))
+    k = 0
+    while len(todo):
+        more = size[todo] > k + 1
+        out[at[todo] + k] = ((v[todo] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | (more.astype(np.uint8) << 7)
+        todo = todo[more]
+        k += 1
+    raw, bounds = out.tobytes(), at[np.append(cuts, len(v))].tolist()
+    return [raw[i:j] for i, j in zip(bounds, bounds[1:])]
+
+
+def get_varints(raw: bytes) -> np.ndarray:
+    """The uint64 values of LEB128 bytes."""
+    b = np.frombuffer(raw, np.uint8)
+    ends = np.flatnonzero(b < 128)
+    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    out = np.zeros(len(ends), np.uint64)
+    size = ends - starts + 1
+    todo, k = np.arange(len(ends)), 0
+    while len(todo):
+        out[todo] |= (b[starts[todo] + k] & np.uint8(127)).astype(np.uint64) << np.uint64(7 * k)
+        k += 1
+        todo = todo[size[todo] > k]
+    return out
+
+
+def put_places(doc: np.ndarray, pos: np.ndarray, cuts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """(document, position) pairs as differences, one pair of blobs per cut.
+
+    Small where neighbours share a document or have near ones.
+    """
+    first = np.zeros(len(doc), np.bool_)
+    first[cuts[cuts < len(doc)]] = True
+    step = np.diff(doc, prepend=np.int64(0))
+    step[first] = doc[first]
+    same = ~first & (step == 0)
+    away = np.where(same, np.diff(pos, prepend=np.int64(0)), pos)
+    zigzag = lambda x: ((x << 1) ^ (x >> 63)).view(np.uint64)
+    return put_varints(zigzag(step.astype(np.int64)), cuts), put_varints(zigzag(away.astype(np.int64)), cuts)
+
+
+def get_places(docs: bytes, pos: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Undo ``put_places`` for one pair of blobs."""
+    zagzig = lambda x: (x >> np.uint64(1)).view(np.int64) ^ -(x & np.uint64(1)).view(np.int64)
+    step, away = zagzig(get_varints(docs)), zagzig(get_varints(pos))
+    if len(step) == 0:
+        return step, away
+    same = step == 0
+    same[0] = False
+    total = np.cumsum(away)
+    lead = np.flatnonzero(~same)
+    before = np.concatenate([[0], total])[lead]
+    return np.cumsum(step), total - np.repeat(before, np.diff(np.append(lead, len(step))))
