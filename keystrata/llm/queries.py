@@ -4,7 +4,7 @@ from pathlib import Path
 
 import public_tokenizers
 
-from keystrata.llm import bpe_codec, media_ts, minhash_dedup, quality_forest, substring_dedup, token_counts
+from keystrata.llm import bpe_codec, line_templates, media_ts, minhash_dedup, quality_forest, substring_dedup, token_counts
 
 
 def table(spark, sf_dir, name):
@@ -16,6 +16,10 @@ def vocabulary(name):
     return Path(public_tokenizers.path(name)).read_text()
 
 
+def op1_line_templates(spark, sf_dir):
+    return line_templates.digests(table(spark, sf_dir, "documents"))
+
+
 def op2_minhash_dedup(spark, sf_dir):
     return minhash_dedup.components(table(spark, sf_dir, "documents"))
 
@@ -40,5 +44,5 @@ def op10_bpe_codec(spark, sf_dir):
     return bpe_codec.encode_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op3_substring_dedup, op4_media_ts, op7_quality_forest, op9_token_counts, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_line_templates, op2_minhash_dedup, op3_substring_dedup, op4_media_ts, op7_quality_forest, op9_token_counts, op10_bpe_codec)}
 ORACLES: dict[str, str] = {}
