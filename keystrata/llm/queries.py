@@ -4,7 +4,7 @@ from pathlib import Path
 
 import public_tokenizers
 
-from keystrata.llm import bpe_codec, line_templates, media_ts, minhash_dedup, quality_forest, substring_dedup, token_counts
+from keystrata.llm import bpe_codec, line_templates, media_ts, minhash_dedup, mixing, quality_forest, substring_dedup, token_counts, url_templates
 
 
 def table(spark, sf_dir, name):
@@ -32,10 +32,18 @@ def op4_media_ts(spark, sf_dir):
     return media_ts.text_features(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark, sf_dir):
+    return mixing.allocate(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_forest(spark, sf_dir):
     return quality_forest.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_url_templates(spark, sf_dir):
+    return url_templates.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -44,5 +52,5 @@ def op10_bpe_codec(spark, sf_dir):
     return bpe_codec.encode_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_templates, op2_minhash_dedup, op3_substring_dedup, op4_media_ts, op7_quality_forest, op9_token_counts, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_line_templates, op2_minhash_dedup, op3_substring_dedup, op4_media_ts, op6_mixing, op7_quality_forest, op8_url_templates, op9_token_counts, op10_bpe_codec)}
 ORACLES: dict[str, str] = {}
