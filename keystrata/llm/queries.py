@@ -4,7 +4,7 @@ from pathlib import Path
 
 import public_tokenizers
 
-from keystrata.llm import bpe_codec, line_templates, media_ts, minhash_dedup, mixing, quality_forest, substring_dedup, token_counts, url_templates
+from keystrata.llm import bpe_codec, line_templates, media_ts, minhash_dedup, mixing, pii_context, quality_forest, substring_dedup, token_counts, url_templates
 
 
 def table(spark, sf_dir, name):
@@ -32,6 +32,10 @@ def op4_media_ts(spark, sf_dir):
     return media_ts.text_features(table(spark, sf_dir, "documents"))
 
 
+def op5_pii_context(spark, sf_dir):
+    return pii_context.find(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark, sf_dir):
     return mixing.allocate(table(spark, sf_dir, "documents"))
 
@@ -52,5 +56,5 @@ def op10_bpe_codec(spark, sf_dir):
     return bpe_codec.encode_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_templates, op2_minhash_dedup, op3_substring_dedup, op4_media_ts, op6_mixing, op7_quality_forest, op8_url_templates, op9_token_counts, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_line_templates, op2_minhash_dedup, op3_substring_dedup, op4_media_ts, op5_pii_context, op6_mixing, op7_quality_forest, op8_url_templates, op9_token_counts, op10_bpe_codec)}
 ORACLES: dict[str, str] = {}
