@@ -58,7 +58,7 @@ def load_tokenizer(spec: str):
 def frequent_table(docs: DataFrame, spec: str, sample_docs: int, table_size: int) -> dict[str, int]:
     """Token counts of the most frequent pre-tokens of a bounded sample."""
     tok, split, counts = load_tokenizer(spec), splitter(), Counter()
-    for row in docs.select(F.substring("text", 1, 20_000).alias("text")).where("text is not null").limit(sample_docs).toLocalIterator():
+    for row in docs.select(F.substring("text", 1, 20_000).alias("text")).where("text is not null").take(sample_docs):
         counts.update(split(row.text))
     keys = [k for k, _ in counts.most_common(table_size)]
     return dict(zip(keys, map(len, tok.encode_batch_fast(keys, add_special_tokens=False)), strict=True))
