@@ -1 +1 @@
-
+"""Scalar functions: codecs, names, checksums, filters, replies."""

@@ -1 +1 @@
-
+"""Workload plans, and the registry of queries with their SQL."""

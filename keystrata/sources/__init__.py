@@ -1 +1 @@
-
+"""Stores, log files and other inputs and outputs."""
