@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from keystrata.llm import bpe_codec, line_templates, minhash_dedup, mixing, quality_forest
 from keystrata.llm.queries import table, vocabulary
+from keystrata.plans.checkpoints import own_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -61,7 +62,7 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     """All stages over the documents of ``sf_dir``, each written and read again."""
-    minhash_dedup.own_folder(spark)
+    own_folder(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
