@@ -176,55 +176,43 @@ def state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
-def confirm(sets: list[np.ndarray], keys: np.ndarray, ids: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def confirm(keys: np.ndarray, off: np.ndarray, ids: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links (a forest of them) between sets that reach the similarity.
 
-    Only sets that share a band key are compared, and only while they are not
-    yet connected, so a group of near copies costs about one test a member.
+    Each set in turn is held against all later ones that it isn't connected
+    with yet, in one vectorised pass over their elements; once all are
+    connected, nothing is left to do.  So a group of near copies costs a pass
+    or two, and sets that stay apart are compared exactly.
     """
-    parent = list(range(len(sets)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    def linked(x: int, y: int, band: int) -> bool:
-        small, big = sorted((len(sets[x]), len(sets[y])))
-        if 100 * small < percent * big or (keys[x, :band] == keys[y, :band]).any():
-            return False  # too unlike in size, or tested in an earlier band
-        common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-        return 100 * common >= percent * (small + big - common)
-
-    links = []
-    for band in range(keys.shape[1]):
-        order = np.argsort(keys[:, band], kind="stable")
-        ordered = keys[order, band]
-        cuts = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
-        for bucket in np.split(order, cuts):
-            parts: dict[int, list[int]] = {}
-            for x in bucket.tolist():
-                parts.setdefault(root(x), []).append(x)
-            if len(parts) < 2:
-                continue
-            done: list[list[int]] = []
-            for part in parts.values():
-                # Parts are connected in themselves; join those that a link joins.
-                apart = []
-                for other in done:
-                    pair = next(((x, y) for x in part for y in other if linked(x, y, band)), None)
-                    if pair:
-                        links.append((int(ids[pair[0]]), int(ids[pair[1]])))
-                        parent[root(pair[0])] = root(pair[1])
-                        part = part + other
-                    else:
-                        apart.append(other)
-                done = [*apart, part]
+    n, sizes = len(off) - 1, np.diff(off)
+    universe, elem = np.unique(keys, return_inverse=True)
+    label, links = np.arange(n), []
+    held = np.zeros(len(universe), np.bool_)
+    for p in range(n - 1):
+        later = np.arange(p + 1, n)[label[p + 1 :] != label[p]]
+        if len(later) == 0:
+            if (label == label[0]).all():
+                break
+            continue
+        near = (100 * np.minimum(sizes[later], sizes[p])) >= percent * np.maximum(sizes[later], sizes[p])
+        later = later[near]
+        if len(later) == 0:
+            continue
+        held[elem[off[p] : off[p + 1]]] = True
+        hits = held[elem[ranges(off[later], sizes[later])]] if 2 * len(later) < n - p else held[elem[off[later[0]] :]]
+        begin = np.concatenate([[0], np.cumsum(sizes[later])[:-1]]) if 2 * len(later) < n - p else off[later[0] : n] - off[later[0]]
+        common = np.add.reduceat(hits, begin, dtype=np.int64)
+        common = common if 2 * len(later) < n - p else common[later - later[0]]
+        held[elem[off[p] : off[p + 1]]] = False
+        linked = later[100 * common >= percent * (sizes[later] + sizes[p] - common)]
+        if len(linked):
+            joined, first = np.unique(label[linked], return_index=True)
+            links += [(int(ids[p]), int(ids[q])) for q in linked[first].tolist()]
+            label[np.isin(label, joined)] = label[p]
     return links
 
 
-def components(docs: DataFrame, size: int = 3, percent: int = 85, bands: int = BANDS, rows: int = ROWS, block_items: int = 4_000_000) -> DataFrame:
+def components(docs: DataFrame, size: int = 3, percent: int = 85, bands: int = BANDS, rows: int = ROWS, block_items: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
     Two documents are linked when their shingle sets reach a Jaccard similarity
@@ -246,10 +234,10 @@ def components(docs: DataFrame, size: int = 3, percent: int = 85, bands: int = B
     clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
 
     # Blocks of a cluster by running set size; every pair of blocks is a task.
-    members = clusters.join(heads, clusters.node == heads.rep).select("rep", "root", "n_shingles", "bands")
+    members = clusters.join(heads, clusters.node == heads.rep).select("rep", "root", "n_shingles")
     placed = blocks(members, block_items)
-    texts = docs.join(placed, docs.doc_id == placed.rep).select("rep", "text", "root", "block", "blocks", "bands")
-    tasks = texts.select(F.struct("rep", "text", "bands").alias("m"), "root", F.explode(pairs_of(F.col("block"), F.col("blocks"))).alias("pair")).select("root", "pair", "m.*")
+    texts = docs.join(placed, docs.doc_id == placed.rep).select("rep", "text", "root", "block", "blocks")
+    tasks = texts.select(F.struct("rep", "text").alias("m"), "root", F.explode(pairs_of(F.col("block"), F.col("blocks"))).alias("pair")).select("root", "pair", "m.*")
 
     def verify(table: pa.Table) -> pa.Table:
         table = table.sort_by("rep").combine_chunks()
@@ -257,8 +245,7 @@ def components(docs: DataFrame, size: int = 3, percent: int = 85, bands: int = B
         fresh = np.concatenate([[True], ids[1:] != ids[:-1]])
         table, ids = table.filter(pa.array(fresh)).combine_chunks(), ids[fresh]
         keys, off = shingle_sets(table.column("text").combine_chunks(), size)
-        found = np.array(table.column("bands").to_pylist(), np.int64)
-        links = confirm([keys[a:b] for a, b in zip(off, off[1:])], found, ids, percent)
+        links = confirm(keys, off, ids, percent)
         a, b = zip(*links) if links else ((), ())
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
