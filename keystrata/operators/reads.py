@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from keystrata.operators.oplog import TOMBSTONE, VALUE
 
-NEWEST = Window.partitionBy("user_key").orderBy(F.col("seq").desc(), F.col("type").desc())
+
+def by_age():
+    """The versions of each key, newest first."""
+    return Window.partitionBy("user_key").orderBy(F.col("seq").desc(), F.col("type").desc())
 
 
 def visible(log: DataFrame, snapshot: int | None) -> DataFrame:
@@ -20,7 +23,7 @@ def visible(log: DataFrame, snapshot: int | None) -> DataFrame:
 
 def newest(log: DataFrame, snapshot: int | None = None) -> DataFrame:
     """The newest version of every key, tombstones included."""
-    return visible(log, snapshot).withColumn("rn", F.row_number().over(NEWEST)).where("rn = 1").drop("rn")
+    return visible(log, snapshot).withColumn("rn", F.row_number().over(by_age())).where("rn = 1").drop("rn")
 
 
 def latest(log: DataFrame, snapshot: int | None = None) -> DataFrame:
@@ -86,7 +89,7 @@ def range_counts(log: DataFrame, ranges: DataFrame, width: int, key_number: Colu
 
 def history(log: DataFrame) -> DataFrame:
     """Every version with its age rank in its key (1: newest)."""
-    return log.withColumn("version", F.row_number().over(NEWEST).cast("long"))
+    return log.withColumn("version", F.row_number().over(by_age()).cast("long"))
 
 
 def by_source_rank(sources: list[DataFrame]) -> DataFrame:

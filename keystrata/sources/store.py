@@ -68,16 +68,17 @@ class Store:
         stream = self.fs.create(temporary, True)
         stream.write(bytearray(json.dumps(after, sort_keys=True).encode()))
         stream.close()
-        self.fs.delete(place, False) if not self.is_local() and self.fs.exists(place) else None
-        if not self.rename(temporary, place):
-            raise OSError("the manifest could not be replaced")
+        self.replace(temporary, place)
         self.manifest = after
 
-    def is_local(self) -> bool:
-        return self.fs.getScheme() == "file"
-
-    def rename(self, source, target) -> bool:
-        return bool(self.fs.rename(source, target))
+    def replace(self, source, target) -> None:
+        """An atomic rename over what is there."""
+        gateway = self.spark.sparkContext._gateway
+        kind = getattr(self.hadoop, "Options$Rename")
+        options = gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        self.hadoop.FileContext.getFileContext(self.fs.getUri(), conf).rename(source, target, options)
 
     def take_number(self) -> int:
         n = self.manifest["next_file"]
