@@ -188,16 +188,17 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
 
 def drop_recurring(docs: DataFrame, counts: bool = False, **how) -> DataFrame:
     """``docs`` without its recurring lines; with ``counts``, also n_lines and n_dropped."""
-    gone = recurring_lines(docs, **how).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("line").alias("gone_lines"))
-    joined = docs.join(gone, docs.doc_id == gone.gone_id, "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone_lines", i)), "\n")
-    out = joined.withColumn("kept_text", F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(kept))
-    names = [docs[c] if c != "text" else F.col("kept_text").alias("text") for c in docs.columns]
+    gone = recurring_lines(docs, **how).groupBy(F.col("doc_id").alias("__gone_id")).agg(F.collect_set("line").alias("__gone_lines"))
+    joined = docs.join(gone, docs.doc_id == F.col("__gone_id"), "left")
+    lines = F.split(docs["text"], "\n", -1)
+    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__gone_lines", i)), "\n")
+    kept = F.when(F.col("__gone_lines").isNull(), docs["text"]).otherwise(left).alias("text")
+    added = {}
     if counts:
-        n_lines = F.length("text") - F.length(F.translate("text", "\n", "")) + 1
-        names += [F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.greatest(F.size(F.coalesce("gone_lines", F.array())), F.lit(0)).cast("long").alias("n_dropped")]
-    return out.select(*names)
+        n_lines = F.length(docs["text"]) - F.length(F.translate(docs["text"], "\n", "")) + 1
+        added["n_lines"] = F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines")
+        added["n_dropped"] = F.coalesce(F.array_size("__gone_lines"), F.lit(0)).cast("long").alias("n_dropped")
+    return joined.select(*(kept if c == "text" else docs[c] for c in docs.columns if c not in added), *added.values())
 
 
 def digests(docs: DataFrame, **how) -> DataFrame:

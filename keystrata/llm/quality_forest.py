@@ -2,7 +2,10 @@
 
 Rule statistics of every whole text are computed on the Arrow side.  A forest
 of random splits is grown on a bounded sample of labelled rows (``fit_rows``,
-the smallest hashes of their doc_id); anomalous documents have short paths.
+the smallest hashes of their doc_id) that pass the base rule; anomalous
+documents have short paths.  It splits on the statistics whose distance from the
+good rows' median tells the labels apart (area under the curve of ``useful`` or
+more): the others would only add anomalies of their own.
 The threshold is calibrated on the labelled sample: the lowest score at which
 at most ``good_loss`` of the rows labelled good would be rejected.  The fitted
 model has a fixed size (``trees`` x 2 x ``leaf_sample`` nodes) and travels in
@@ -149,11 +152,15 @@ class IsolationForest:
         return 2.0 ** (-total / len(self.trees) / max(mean_depth(self.sample), 1e-9))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 4096, good_loss: float = 0.002, trees: int = 100, leaf_sample: int = 256):
-    """(forest, threshold) from a bounded sample of labelled rows, or None.
+def separation(distance: np.ndarray, good: np.ndarray) -> float:
+    """Chance that a bad row lies farther out than a good one; ties count half."""
+    inner = np.sort(distance[good])
+    low, high = np.searchsorted(inner, distance[~good]), np.searchsorted(inner, distance[~good], side="right")
+    return float((low + high).mean() / 2 / len(inner))
 
-    The forest grows on the rows labelled good, so that other rows stand out.
-    """
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 4096, good_loss: float = 0.002, trees: int = 100, leaf_sample: int = 64, useful: float = 0.6):
+    """(forest, its statistics, threshold) from a bounded sample of labelled rows, or None."""
     chosen = (
         labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
@@ -161,25 +168,34 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 4096, good_loss: flo
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toArrow()
     if rows.num_rows == 0:
         return None
-    x = features(rule_statistics(rows.column("text").combine_chunks()))
-    good = rows.column("quality").to_numpy() > 0
+    s = rule_statistics(rows.column("text").combine_chunks())
+    x, good = features(s), rows.column("quality").to_numpy() > 0
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
+    order = order[~base_failed(s)[order]]
     x, good = x[order], good[order]
     if good.sum() < 32 or good.all():
         return None
-    forest = IsolationForest(x[good], trees, leaf_sample)
-    scores = np.sort(forest.score(x[good]))
-    return forest, float(scores[min(len(scores) - 1, int(len(scores) * (1 - good_loss)))])
+    away = np.abs(x - np.median(x[good], axis=0))
+    columns = [k for k in range(x.shape[1]) if separation(away[:, k], good) >= useful]
+    if not columns:
+        return None
+    forest = IsolationForest(x[:, columns], trees, leaf_sample)
+    scores = np.sort(forest.score(x[good][:, columns]))
+    return forest, columns, float(scores[min(len(scores) - 1, int(len(scores) * (1 - good_loss)))])
+
+
+def base_failed(s: dict[str, np.ndarray]) -> np.ndarray:
+    return (s["n_words"] < LEAST_WORDS) | (100 * s["n_repeat_words"] > REPEAT_PERCENT * s["n_words"])
 
 
 def verdicts(arr: pa.Array, model) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
     """(statistics, base_failed, kept) of each text."""
     s = rule_statistics(arr)
-    failed = (s["n_words"] < LEAST_WORDS) | (100 * s["n_repeat_words"] > REPEAT_PERCENT * s["n_words"])
+    failed = base_failed(s)
     kept = ~failed
     if model is not None and len(arr):
-        forest, threshold = model
-        kept &= forest.score(features(s)) <= threshold
+        forest, columns, threshold = model
+        kept &= forest.score(features(s)[:, columns]) <= threshold
     return s, failed, kept
 
 

@@ -4,7 +4,7 @@ from pathlib import Path
 
 import public_tokenizers
 
-from keystrata.llm import bpe_codec, line_templates, media_ts, minhash_dedup, mixing, pii_context, quality_forest, substring_dedup, token_counts, url_templates
+from keystrata.llm import bpe_codec, line_templates, media_ts, minhash_dedup, mixing, oracles, pii_context, quality_forest, substring_dedup, token_counts, url_templates
 
 
 def table(spark, sf_dir, name):
@@ -57,4 +57,4 @@ def op10_bpe_codec(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_line_templates, op2_minhash_dedup, op3_substring_dedup, op4_media_ts, op5_pii_context, op6_mixing, op7_quality_forest, op8_url_templates, op9_token_counts, op10_bpe_codec)}
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES
