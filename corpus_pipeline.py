@@ -44,7 +44,7 @@ def source_mixing(spark, docs, sf_dir):
 
 def encoding(spark, docs, sf_dir):
     """doc_id, lang, source, number of tokens and token ids of each document."""
-    coded = bpe_codec.encode_column(docs.select("doc_id", "lang", "source", "text"), vocabulary("word_bpe_49k.json"))
+    coded = bpe_codec.encode_column(docs.select("doc_id", "lang", "source", "text"), vocabulary("word_bpe_49k.json"), decoded=False)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
