@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from keystrata.llm.textkernel import ranges, worker_cache
+from keystrata.llm.textkernel import ranges, small_batches, worker_cache
 from keystrata.llm.token_counts import ODD, load_tokenizer
 
 #: Fixed value: the split pattern of the word-end vocabulary.
@@ -302,7 +302,7 @@ def in_runs(batches, schema, make, encoder):
             del rows[:n]
 
 
-def encode_digests(docs: DataFrame, spec: str, word_limit: int = 300_000) -> DataFrame:
+def encode_digests(docs: DataFrame, spec: str, word_limit: int = 200_000) -> DataFrame:
     """doc_id, n_tokens, SHA-256 of the ids and of the decoded text."""
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
@@ -318,11 +318,11 @@ def encode_digests(docs: DataFrame, spec: str, word_limit: int = 300_000) -> Dat
 
         yield from in_runs(batches, out, make, Encoder(shared.value, word_limit))
 
-    return docs.select("doc_id", "text").mapInArrow(run, DIGEST_SCHEMA)
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, DIGEST_SCHEMA)
 
 
-def encode_column(docs: DataFrame, spec: str, word_limit: int = 300_000) -> DataFrame:
-    """``docs`` with ``ids`` (array of int) and ``decoded`` (text) appended.
+def encode_column(docs: DataFrame, spec: str, word_limit: int = 200_000, decoded: bool = True) -> DataFrame:
+    """``docs`` with ``ids`` (array of int) and, if wanted, ``decoded`` (text) appended.
 
     Columns of those names in ``docs`` are replaced.
     """
@@ -332,12 +332,15 @@ def encode_column(docs: DataFrame, spec: str, word_limit: int = 300_000) -> Data
 
     def run(batches):
         def out(batch, rows):
-            ids, decoded = zip(*rows) if rows else ((), ())
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], [*batch.schema.names, "ids", "decoded"])
+            ids, text = zip(*rows) if rows else ((), ())
+            at = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            more = [lists, pa.array(text, pa.string())] if decoded else [lists]
+            return pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "ids", "decoded"][: len(batch.columns) + len(more)])
 
-        yield from in_runs(batches, out, lambda got: (np.frombuffer(got[0], "<u4").astype(np.int32), got[1]), Encoder(shared.value, word_limit))
+        yield from in_runs(batches, out, lambda got: got if decoded else (got[0], None), Encoder(shared.value, word_limit))
 
-    return docs.mapInArrow(run, f"{fields}, ids array<int>, decoded string")
+    return small_batches(docs).mapInArrow(run, f"{fields}, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode_column(encoded: DataFrame, spec: str, ids: str = "ids", to: str = "decoded") -> DataFrame:

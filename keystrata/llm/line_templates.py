@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.textkernel import GOLD, mix64, ranges, slices, text_buffers, word_hashes, word_spans
+from keystrata.llm.textkernel import GOLD, mix64, ranges, slices, small_batches, text_buffers, word_hashes, word_spans
 
 DEPTH, SIMILARITY, MIN_DOCS, LEAST_TOKENS, LEAF_LINES = 3, 0.7, 10, 3, 512
 WILD = np.uint64(0x57494C44)
-UNIT_BYTES = 8 << 20
+UNIT_BYTES = 4 << 20
 
 
 def lines_of(part: pa.RecordBatch, least_tokens: int, depth: int):
@@ -183,7 +183,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
         return pa.table([pa.array(doc, pa.int64()), pa.array(line, pa.int32())], names=["doc_id", "line"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.mapInArrow(run, BLOB).groupBy("grp").applyInArrow(group, "doc_id long, line int").distinct()
+    return small_batches(texts).mapInArrow(run, BLOB).groupBy("grp").applyInArrow(group, "doc_id long, line int").distinct()
 
 
 def drop_recurring(docs: DataFrame, counts: bool = False, **how) -> DataFrame:

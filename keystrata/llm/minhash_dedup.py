@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.textkernel import ASCII_LOWER, GOLD, mix64, ranges, slices, text_buffers, window_hashes, word_hashes, word_spans
+from keystrata.llm.textkernel import ASCII_LOWER, GOLD, mix64, ranges, slices, small_batches, text_buffers, window_hashes, word_hashes, word_spans
 from keystrata.plans.checkpoints import own_folder
 
 #: 32 bands of 5 rows: a pair of similarity 0.85 is missed with chance 1e-8, one
@@ -142,7 +142,7 @@ def describe(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands), flat)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), pa.array(sums[0], mask=empty), pa.array(sums[1], mask=empty), lists], ["doc_id", "n_shingles", "set1", "set2", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>")
+    return small_batches(docs).mapInArrow(run, "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>")
 
 
 def close(edges: DataFrame, rounds: int = 40) -> DataFrame:

@@ -35,6 +35,8 @@ HINTS = {"email": r"@[A-Za-z0-9-]++\.", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?
 #: A word with a digit or an at sign, cut at its letters, digits and signs.
 INSTANCE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 WINDOW = 80
+#: Matches summed at a time.
+CHUNK = 128
 
 ACCEPT, LEAST_SEEDS, ROUNDS, SMOOTH = 0.9, 5, 3, 1.0
 
@@ -42,21 +44,38 @@ ACCEPT, LEAST_SEEDS, ROUNDS, SMOOTH = 0.9, 5, 3, 1.0
 def matches(text: Column, pattern: str, kind: str) -> Column:
     """array<struct<kind, start, end, value>> of the matches, in code points.
 
-    The pieces between matches give their places.
+    The pieces between matches give their places.  Lengths are summed within
+    chunks of matches, then over chunks, so that a text with very many matches
+    doesn't copy a growing array for each of them.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(F.slice(pieces, 1, F.greatest(F.size(found), F.lit(1))).alias("gap"), found.alias("value"))
-    pairs = F.filter(pairs, lambda p: p["value"].isNotNull())
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
+    pairs = F.filter(F.arrays_zip(pieces.alias("gap"), found.alias("value")), lambda p: p["value"].isNotNull())
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,lead:string>>")
 
     def step(acc, p):
         start = acc["at"] + F.length(p["gap"])
         end = start + F.length(p["value"])
-        one = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), p["value"].alias("value")))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], one).alias("spans"))
+        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span(kind, start, end, p["value"], F.right(p["gap"], F.lit(WINDOW))))).alias("spans"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), step)["spans"]
+    def chunked(pairs):
+        count = F.ceil(F.size(pairs) / CHUNK).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), count - 1), lambda c: F.slice(pairs, c * CHUNK + 1, F.lit(CHUNK)))
+        return F.transform(chunks, lambda c: F.aggregate(c, F.struct(F.lit(0).alias("at"), none.alias("spans")), step))
+
+    def placed(parts):
+        starts = F.aggregate(parts, F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + c["at"])))
+        both = F.arrays_zip(parts.alias("part"), F.slice(starts, 1, F.size(parts)).alias("from"))
+        return F.flatten(F.transform(both, lambda x: F.transform(x["part"]["spans"], lambda s: span(kind, s["start"] + x["from"], s["end"] + x["from"], s["value"], s["lead"]))))
+
+    # let(x, f): f(x) with x computed once.
+    let = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+    return let(pairs, lambda p: F.when(F.size(p) > 0, let(chunked(p), placed)).otherwise(none))
+
+
+def span(kind: str, start: Column, end: Column, value: Column, lead: Column) -> Column:
+    """A match; ``lead`` is the end of what stands between it and the one before."""
+    return F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), value.alias("value"), lead.alias("lead"))
 
 
 def digits(value: Column) -> Column:
@@ -87,7 +106,7 @@ def checker(kind: str):
 
 def base_spans(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) with an array column of checked spans by kind."""
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,lead:string>>")
     out = docs
     for kind in KINDS:
         raw = F.when(F.col("text").rlike(HINTS[kind]), matches(F.col("text"), PATTERNS[kind], kind)).otherwise(none)
@@ -112,12 +131,17 @@ def trimmed(word: Column) -> Column:
 def instances(spans: DataFrame) -> DataFrame:
     """One row for each instance: its pattern, place, value, and whether it is a seed."""
     found = F.when(F.col("text").rlike("[0-9@]"), matches(F.col("text"), INSTANCE, "context"))
-    known = F.concat(*KINDS)
-    rows = spans.select("doc_id", "text", known.alias("known"), F.explode(found).alias("s"))
-    lead = F.substring(F.col("text"), F.greatest(F.col("s.start") - WINDOW + 1, F.lit(1)), F.least(F.col("s.start"), F.lit(WINDOW)))
-    value = trimmed(F.col("s.value"))
+    rows = spans.select("doc_id", F.concat(*KINDS).alias("known"), found.alias("found"))
+
+    def led(s, i):
+        """Two words before a match lie in its lead and the match before."""
+        last = F.get("found", i - 1)
+        lead = F.concat(F.coalesce(F.concat(last["lead"], F.right(last["value"], F.lit(WINDOW))), F.lit("")), s["lead"])
+        return F.struct(s["start"].alias("start"), s["value"].alias("value"), lead.alias("lead"))
+
+    rows = rows.select("doc_id", "known", F.explode(F.transform("found", led)).alias("s"))
     skip = F.greatest(F.expr("instr(s.value, trimmed)") - 1, F.lit(0))
-    rows = rows.select("doc_id", "known", "s", last_words(lead, 2).alias("pattern"), value.alias("trimmed"))
+    rows = rows.select("doc_id", "known", "s", last_words(F.col("s.lead"), 2).alias("pattern"), trimmed(F.col("s.value")).alias("trimmed"))
     start = F.col("s.start") + skip
     rows = rows.withColumns({"start": start, "end": start + F.length("trimmed")}).where("trimmed <> '' and pattern <> ''")
     seed = F.exists("known", lambda k: (k["start"] < F.col("end")) & (k["end"] > F.col("start")))

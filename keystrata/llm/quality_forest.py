@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.textkernel import mix64, ranges, slices, text_buffers, window_hashes, word_hashes, word_spans
+from keystrata.llm.textkernel import mix64, ranges, slices, small_batches, text_buffers, window_hashes, word_hashes, word_spans
 
 #: Symbols and limits of the base rule.
 SYMBOLS = b"#*$%&|<>"
@@ -210,7 +210,7 @@ def judge(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
                 s, failed, kept = verdicts(part.column(1), model)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *(pa.array(s[n]) for n in names), pa.array(failed), pa.array(kept)], ["doc_id", *names, "base_failed", "kept"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {COLUMNS}, base_failed boolean, kept boolean")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id long, {COLUMNS}, base_failed boolean, kept boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
@@ -222,4 +222,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
             for part in slices(batch, "text"):
                 yield part.filter(pa.array(verdicts(part.column(part.schema.get_field_index("text")), model)[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

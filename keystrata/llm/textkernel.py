@@ -40,6 +40,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def small_batches(df):
+    """``df``, whose session will hand Python 8 MB of rows at a time, or less.
+
+    Bounds the memory of workers and of the executors' Arrow buffers, whatever
+    the length of texts.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return df
+
+
 def text_buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and n+1 offsets of a string array; null counts as empty."""
     if arr.null_count:
