@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.textkernel import get_places, mix64, put_places, ranges, slices, text_buffers, window_hashes, word_hashes, word_spans
+from keystrata.llm.textkernel import get_places, mix64, put_places, ranges, slices, small_batches, text_buffers, window_hashes, word_hashes, word_spans
 
 WIDTH = 13
 #: Prefix lengths tried in turn; a prefix that is heavy at the last is taken whole.
@@ -164,7 +164,7 @@ def repeats(docs: DataFrame, width: int, share: int, dests: int | None = None) -
         key, docs_, places, _, _ = blobs((doc % dests).astype(np.int32), doc, pos)
         return pa.table([pa.array(key, pa.int32()), pa.array(docs_, pa.binary()), pa.array(places, pa.binary())], names=["dest", "docs", "pos"])
 
-    leaves = docs.mapInArrow(scatter, "grp int, paths binary, docs binary, pos binary")
+    leaves = small_batches(docs).mapInArrow(scatter, "grp int, paths binary, docs binary, pos binary")
     return leaves.groupBy("grp").applyInArrow(subtree, "dest int, docs binary, pos binary"), dests
 
 
@@ -183,19 +183,34 @@ def cut_repeats(docs: DataFrame, emit, schema: str, width: int, share: int) -> D
     """``emit(doc_id, words, removed mask or None)`` rows for every document."""
     found, dests = repeats(docs, width, share)
     names = [c.split()[0] for c in schema.replace(", ", ",").split(",") if " " in c]
-    dest = F.coalesce(F.pmod(F.col("doc_id").cast("long"), F.lit(dests)), F.lit(0)).cast("int")
-    texts = docs.select(dest.alias("dest"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def pack(batches):
+        """Rows of a batch for each dest as one compressed blob: half the bytes of a shuffle of texts."""
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            to = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False) % dests
+            order = np.argsort(to, kind="stable")
+            keys, first = np.unique(to[order], return_index=True)
+            out = []
+            for rows in np.split(order, first[1:]) if len(order) else []:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=options) as stream:
+                    stream.write_batch(batch.take(pa.array(rows)))
+                out.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(out, pa.binary())], ["dest", "rows"])
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         pairs = [get_places(d, s) for d, s in zip(right.column("docs").to_pylist(), right.column("pos").to_pylist())]
         doc, pos = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
         order = np.argsort(doc, kind="stable")
         doc, pos = doc[order], pos[order]
-        ids = left.column("doc_id").to_pylist()
+        left = pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in left.column("rows").to_pylist()]) if left.num_rows else None
+        ids = left.column(0).to_pylist() if left else []
         keys = np.array([0 if i is None else i for i in ids], np.int64)
         low, high = np.searchsorted(doc, keys).tolist(), np.searchsorted(doc, keys, side="right").tolist()
         rows = []
-        for i, text, a, b in zip(ids, left.column("text").to_pylist(), low, high):
+        for i, text, a, b in zip(ids, left.column(1).to_pylist() if left else [], low, high):
             words = (text or "").encode().split()
             gone = None
             if b > a and i is not None and len(words) >= width:
@@ -206,7 +221,8 @@ def cut_repeats(docs: DataFrame, emit, schema: str, width: int, share: int) -> D
             rows.append(emit(i, words, gone))
         return pa.Table.from_pylist([dict(zip(names, r)) for r in rows], schema=ARROW[schema])
 
-    return texts.groupBy("dest").cogroup(found.groupBy("dest")).applyInArrow(cut, schema)
+    packed = small_batches(texts).mapInArrow(pack, "dest int, rows binary")
+    return packed.groupBy("dest").cogroup(found.groupBy("dest")).applyInArrow(cut, schema)
 
 
 DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
