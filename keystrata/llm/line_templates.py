@@ -1,13 +1,15 @@
 """Line dedup by a log-template tree of fixed depth.
 
-A line (between newlines) of at least ``least_tokens`` tokens falls through the
-tree by its token count and its ``depth`` leading tokens, where a token with a
-digit counts as a variable field.  In a leaf, lines whose tokens agree in at
+A line (between newlines) falls through the tree by its token count and its
+``depth`` leading tokens, where a token with a digit counts as a variable field;
+a line under ``least_tokens`` tokens keeps such a token if it has no other.  In a leaf, lines whose tokens agree in at
 least ``similarity`` of the positions share a template; positions that differ
 become wildcards.  A leaf of more than ``leaf_lines`` distinct lines goes on by
 its next token, so no leaf is compared with itself at large.  A template that
-recurs in ``min_docs`` documents or more, and between as many different
-neighbours (so that copies of one document count once), is dropped everywhere.
+recurs in ``min_docs`` documents or more, no two of them near copies, is dropped
+everywhere.  Documents are near copies if the MinHash signatures of their other
+lines (of the line itself in a text of one line) agree in half of the slots, so
+copies of one document count once, wherever the line stands in the others.
 
 Tasks merge equal lines before the shuffle: a line that a third of all
 documents share costs its group one template a task.  Null text has no lines
@@ -26,29 +28,62 @@ from keystrata.llm.textkernel import GOLD, mix64, ranges, slices, small_batches,
 DEPTH, SIMILARITY, MIN_DOCS, LEAST_TOKENS, LEAF_LINES = 3, 0.7, 10, 3, 512
 WILD = np.uint64(0x57494C44)
 UNIT_BYTES = 4 << 20
+#: Slots of a signature, a byte each; near copies agree in so many.
+SLOTS, ALIKE, SHINGLE = 8, 4, 2
+NONE = np.uint64(2**64 - 1)
+
+
+def signatures(h: np.ndarray, begin: np.ndarray, count: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Signature of the other lines of each line's document.
+
+    It is made of shingles of tokens, each with the first token of its line.
+    Lines are given in order by their tokens ``h`` and document; none is blank.
+    """
+    if len(begin) == 0:
+        return np.zeros(0, np.uint64)
+    place = np.arange(len(h)) - np.repeat(begin, count)
+    left = np.repeat(count, count) - place
+    shingle = h.copy()
+    for k in range(1, SHINGLE):
+        shingle[:-k] = np.where(left[:-k] > k, mix64(shingle[:-k] * GOLD + h[k:]), shingle[:-k])
+    # Shorter ones stand only for lines that have no others.
+    shingle = mix64(shingle + np.repeat(h[begin], count) * GOLD)
+    use = (left >= SHINGLE) | (place == 0)
+    first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    rank = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(doc))))
+    out = np.zeros((len(begin), SLOTS), np.uint8)
+    for k in range(SLOTS):
+        value = np.where(use, shingle * mix64(np.array([2 * k + 1], np.uint64)) | np.uint64(1), NONE)
+        low = np.minimum.reduceat(value, begin)
+        least = np.minimum.reduceat(low, first)[rank]
+        others = np.minimum.reduceat(np.where(low == least, NONE, low), first)[rank]
+        out[:, k] = mix64(np.where((low == least) & (others != NONE), others, least)).astype(np.uint8)
+    return out.view(np.uint64).ravel()
 
 
 def lines_of(part: pa.RecordBatch, least_tokens: int, depth: int):
-    """Arrays of the lines with enough tokens, as a dict, and all token codes."""
+    """Arrays of the lines with tokens, as a dict, and all token codes."""
     buf, off = text_buffers(part.column(1))
     starts, ends, first = word_spans(buf, off)
     h = word_hashes(buf, starts, ends)
     digits = np.concatenate([[0], np.cumsum((buf >= 48) & (buf <= 57))])
-    h = np.where(digits[ends] > digits[starts], WILD, h)
+    variable = digits[ends] > digits[starts]
+    literal, h = h, np.where(variable, WILD, h)
     cut = np.unique(np.concatenate([off[:-1], np.flatnonzero(buf == 10) + 1]))
     cut = cut[cut < len(buf)]
     at = np.searchsorted(starts, np.append(cut, len(buf)))
     begin, count = at[:-1], np.diff(at)
     doc = np.searchsorted(off, cut, side="right") - 1
     line = np.arange(len(cut)) - np.searchsorted(cut, off)[doc]
-    # Neighbours are known by their first two tokens, within the document.
-    full = count > 0
-    head = np.zeros(len(cut) + 2, np.uint64)
-    two = np.flatnonzero(full)
-    head[two + 1] = h[begin[two]] * GOLD + np.where(count[two] > 1, h[np.minimum(begin[two] + 1, len(h) - 1)], np.uint64(1))
-    before = np.where(np.append(-1, doc[:-1]) == doc, head[:-2], np.uint64(0))
-    after = np.where(np.append(doc[1:], -1) == doc, head[2:], np.uint64(0))
-    use = np.flatnonzero((count >= least_tokens) & np.asarray(part.column(0).is_valid())[doc])
+    full = np.flatnonzero(count > 0)
+    near = np.zeros(len(cut), np.uint64)
+    near[full] = signatures(h, begin[full], count[full], doc[full])
+    # A short line of nothing but variables recurs only as it stands.
+    fields = np.concatenate([[0], np.cumsum(variable)])
+    bare = np.flatnonzero((count > 0) & (count < least_tokens) & (fields[begin + count] - fields[begin] == count))
+    at = ranges(begin[bare], count[bare])
+    h[at] = literal[at]
+    use = np.flatnonzero((count > 0) & np.asarray(part.column(0).is_valid())[doc])
     ids = part.column(0).fill_null(0).to_numpy(zero_copy_only=False)
     begin, count = begin[use], count[use]
     leaf = mix64(count.astype(np.uint64) * GOLD)
@@ -58,7 +93,7 @@ def lines_of(part: pa.RecordBatch, least_tokens: int, depth: int):
     ends_ = np.cumsum(count)
     place = np.arange(len(tokens)) - np.repeat(ends_ - count, count)
     whole = np.add.reduceat(mix64(tokens + place.astype(np.uint64) * GOLD), ends_ - count) if len(use) else np.zeros(0, np.uint64)
-    found = {"leaf": leaf, "whole": mix64(whole ^ leaf), "count": count, "doc": ids[doc[use]], "line": line[use].astype(np.int32), "near": mix64(before[use] * GOLD + after[use])}
+    found = {"leaf": leaf, "whole": mix64(whole ^ leaf), "count": count, "doc": ids[doc[use]], "line": line[use].astype(np.int32), "near": near[use]}
     return found, (tokens >> np.uint64(16)).astype(np.uint16)
 
 
@@ -151,18 +186,29 @@ def recurring(rows: dict[str, np.ndarray], min_docs: int, similarity: float, lea
     mine = template[use]
     live = mine >= 0
     t, doc, line, near = mine[live], rows["doc"][live], rows["line"][live], rows["near"][live]
-    ok = distinct(t, doc, base) >= min_docs
-    ok &= distinct(t, near.view(np.int64), base) >= min_docs
+    ok = unalike(t, doc, near, base, min_docs)
     hit = ok[t] if base else np.zeros(0, np.bool_)
     return doc[hit], line[hit]
 
 
-def distinct(key: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-    """How many distinct values each key number below n has."""
-    order = np.lexsort((value, key))
-    key, value = key[order], value[order]
-    new = np.append(True, (key[1:] != key[:-1]) | (value[1:] != value[:-1])) if len(key) else np.zeros(0, np.bool_)
-    return np.bincount(key[new], minlength=n)
+def unalike(key: np.ndarray, doc: np.ndarray, near: np.ndarray, n: int, least: int) -> np.ndarray:
+    """Whether each key number below n has ``least`` documents, no two of them near copies."""
+    out = np.zeros(n, np.bool_)
+    order = np.lexsort((near, doc, key))
+    key, doc, near = key[order], doc[order], near[order]
+    # One row a document and key.
+    new = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])) if len(key) else np.zeros(0, np.bool_)
+    key, near = key[new], near[new]
+    sizes = np.bincount(key, minlength=n)
+    ends = np.cumsum(sizes)
+    for k in np.flatnonzero(sizes >= least).tolist():
+        rest = np.unique(near[ends[k] - sizes[k] : ends[k]]).view(np.uint8).reshape(-1, SLOTS)
+        found = 0
+        while len(rest) and found < least:
+            found += 1
+            rest = rest[(rest == rest[0]).sum(axis=1) < ALIKE]
+        out[k] = found >= least
+    return out
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, depth: int = DEPTH, least_tokens: int = LEAST_TOKENS, leaf_lines: int = LEAF_LINES) -> DataFrame:
