@@ -3,11 +3,14 @@
 Base spans (email, ip, card, phone) are leftmost, non-overlapping matches that
 pass their checks.  They seed a pattern-instance graph: an instance is a word
 with a digit or an at sign, a pattern is the two words before it in lower case.
-Spark scores the graph in rounds: a pattern's confidence is the weight of its
-known instances among all its distinct instances (smoothed), an instance's is
-the best of its patterns'; instances that reach ``accept`` join the known ones.
-Patterns that end at ``accept`` with ``least_seeds`` distinct seeds or more mark
-every further instance they precede as a span of kind ``context``.
+Spark scores the graph in rounds until no instance is added.  A pattern's
+support is the weight of its known instances; its confidence is their share of
+its distinct instances times the logarithm of the support, over the logarithm of
+``least_seeds``, 1 at most: the more known ones, the more unseen ones it may
+have.  Patterns that reach ``accept`` with ``least_seeds`` known instances or
+more make their further instances known, with the confidence as weight; known
+ones stay known and support other patterns as seeds do.  All further instances
+that the accepted patterns precede are spans of kind ``context``.
 
 The graph holds sums by (pattern, instance), aggregated before any shuffle of
 texts; the texts are never shuffled.  Match groups use possessive quantifiers,
@@ -38,7 +41,7 @@ WINDOW = 80
 #: Matches summed at a time.
 CHUNK = 128
 
-ACCEPT, LEAST_SEEDS, ROUNDS, SMOOTH = 0.9, 5, 3, 1.0
+ACCEPT, LEAST_SEEDS = 0.9, 5
 
 
 def matches(text: Column, pattern: str, kind: str) -> Column:
@@ -148,29 +151,34 @@ def instances(spans: DataFrame) -> DataFrame:
     return rows.select("doc_id", "pattern", F.col("trimmed").alias("instance"), "start", "end", seed.alias("seed"))
 
 
-def confident_patterns(graph: DataFrame, rounds: int, accept: float, least_seeds: int) -> DataFrame:
+def confident_patterns(graph: DataFrame, accept: float, least_seeds: int) -> DataFrame:
     """Patterns that end at ``accept``, from (pattern, instance, seed) sums."""
     known = graph.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("weight"))
-    scored = None
-    for _ in range(rounds):
-        edges = graph.select("pattern", "instance", "seed").join(known, "instance")
+    before = -1
+    while True:
+        edges = graph.select("pattern", "instance").join(known, "instance")
+        support = F.sum("weight")
         scored = edges.groupBy("pattern").agg(
-            (F.sum("weight") / (F.count("*") + F.lit(SMOOTH))).alias("confidence"),
-            F.sum(F.col("seed").cast("long")).alias("seeds"),
+            F.least(F.lit(1.0), support / F.count("*") * F.log2(F.greatest(support, F.lit(1.0))) / F.log2(F.lit(float(max(least_seeds, 2))))).alias("confidence"),
+            F.sum((F.col("weight") > 0).cast("long")).alias("known"),
         )
-        best = graph.join(scored.where("seeds >= 2"), "pattern").groupBy("instance").agg(F.max("confidence").alias("best"))
-        known = known.join(best, "instance", "left").select("instance", F.when(F.col("weight") >= 1.0, 1.0).when(F.col("best") >= accept, F.col("best")).otherwise(0.0).alias("weight")).checkpoint()
-    return scored.where((F.col("confidence") >= accept) & (F.col("seeds") >= least_seeds)).select("pattern")
+        accepted = scored.where((F.col("confidence") >= accept) & (F.col("known") >= least_seeds)).select("pattern", "confidence").checkpoint()
+        best = graph.join(accepted, "pattern").groupBy("instance").agg(F.max("confidence").alias("best"))
+        known = known.join(best, "instance", "left").select("instance", F.greatest("weight", F.coalesce("best", F.lit(0.0))).alias("weight")).checkpoint()
+        now = known.where("weight > 0").count()
+        if now == before:
+            return accepted.select("pattern")
+        before = now
 
 
-def find(docs: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT, least_seeds: int = LEAST_SEEDS) -> DataFrame:
+def find(docs: DataFrame, accept: float = ACCEPT, least_seeds: int = LEAST_SEEDS) -> DataFrame:
     """doc_id, counts by kind, base_sha256 and spans of every row."""
     own_folder(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     spans = base_spans(docs)
     rows = instances(spans)
     seen = rows.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")).checkpoint()
-    patterns = confident_patterns(seen, rounds, accept, least_seeds)
+    patterns = confident_patterns(seen, accept, least_seeds)
     # Places of further instances under confident patterns, by document.
     more = rows.where("not seed").join(patterns, "pattern", "left_semi")
     placed = more.groupBy(F.col("doc_id").alias("more_id")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("more"))
