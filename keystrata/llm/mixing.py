@@ -12,7 +12,8 @@ document at the end of a prefix is taken in part, so budgets are met exactly.
 Prefix sums run over seeded slices of a leaf (``4096`` by the first hex digits
 of the order key): only slice totals of a leaf meet, never its documents.
 Null levels are the name ''; null text has no tokens and is taken whenever a
-whole epoch is; rows that repeat a doc_id are taken row by row; an empty table
+whole epoch is; rows that repeat a doc_id are taken row by row, and selected
+together within a leaf, null ids too; an empty table
 gives an empty result; further columns are ignored by ``allocate``.
 """
 
@@ -111,5 +112,11 @@ def allocate(docs: DataFrame, weights: dict | None = None, levels=LEVELS, share:
 
 def select_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that are taken, whole or in part, at least once."""
-    taken = allocate(docs, **how).where("epochs > 0 or prefix_tokens > 0").select(F.col("doc_id").alias("taken_id")).distinct()
-    return docs.join(taken, docs.doc_id == taken.taken_id, "left_semi")
+    levels = list(how.get("levels", LEVELS))
+    own = docs.withColumn("__domain", domain_of(F.col("source"))) if "domain" in levels and "domain" not in docs.columns else docs
+    named = {c: F.col("__domain") if c == "domain" and c not in docs.columns else F.col(c) for c in levels}
+    taken = allocate(docs, **how).where("epochs > 0 or prefix_tokens > 0").select(F.col("doc_id").alias("taken_id"), *(F.col(c).alias(f"taken_{c}") for c in levels)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("taken_id"))
+    for c in levels:
+        same &= F.coalesce(named[c], F.lit("")) == F.col(f"taken_{c}")
+    return own.join(taken, same, "left_semi").select(*docs.columns)
