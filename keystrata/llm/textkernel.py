@@ -18,6 +18,8 @@ S33 = np.uint64(33)
 S29 = np.uint64(29)
 #: Words longer than this many 8-byte blocks are hashed one at a time.
 LONG_BLOCKS = 16
+#: What Python gets of a table at a time.
+BATCH_BYTES = 4 << 20
 
 
 def worker_cache() -> dict:
@@ -41,15 +43,49 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def small_batches(df):
-    """``df``, whose session will hand Python 8 MB of rows at a time, or less.
+    """``df``, whose session will hand Python 4 MB of rows at a time, or less.
 
     Bounds the memory of workers and of the executors' Arrow buffers, whatever
-    the length of texts.
+    the length of texts.  Spark has this only as a setting of the session, so it
+    stays; a smaller one of the caller is kept.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name).removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
     return df
 
 
+def fields_of(schema) -> str:
+    """The DDL of a schema's fields."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+
+
+def released(run):
+    """``run`` over a task's batches, giving memory back to the system as it goes.
+
+    Workers live on from stage to stage, and what one has freed but not given
+    back counts against the executor.
+    """
+
+    def give_back():
+        import ctypes
+
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+
+    def wrapped(batches):
+        try:
+            for n, out in enumerate(run(batches)):
+                yield out
+                if n % 8 == 7:
+                    give_back()
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def text_buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and n+1 offsets of a string array; null counts as empty."""
     if arr.null_count:
