@@ -1,11 +1,13 @@
 """Token counts by a map-side two-tier lookup.
 
 Tier 1 is a broadcast table of frequent pre-tokens and their token counts,
-fitted on a bounded sample (``sample_docs`` documents, ``table_size`` entries:
-the broadcast has a fixed bound, whatever the corpus).  Tier 2 is a bounded
-cache in each Python worker; what it lacks is encoded by the tokenizers
-library.  The tables only save work: every count equals the library's.  There
-is no shuffle of pre-tokens, and no shuffle at all.
+fitted on a sample of whole texts (about ``sample_docs`` of them, drawn by hash)
+that is counted on the executors; it has ``table_size`` entries of
+``entry_bytes`` at most, a fixed bound whatever the corpus.  Tier 2 is a bounded
+cache in each Python worker for what the table lacks; what neither has is
+encoded by the tokenizers library.  The tables only save work: every count
+equals the library's.  There is no shuffle of the corpus' pre-tokens; the
+sample's counts are summed.
 
 Null text counts as empty (0 bytes, 0 tokens); repeated rows are counted row by
 row; an empty table gives an empty result; further columns are ignored.
@@ -20,16 +22,18 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.textkernel import slices, text_buffers, worker_cache
+from keystrata.llm.textkernel import released, slices, small_batches, text_buffers, worker_cache
 
 #: Fixed value: the split pattern of the byte-level pre-tokenizer.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Characters outside long-settled blocks: Unicode versions of the libraries may
-#: class them differently, so what holds one is left to the tokenizers library.
-ODD = re.compile("[^\u0000-\u052f\u2000-\u206f\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]").search
+#: Control characters and rare blanks, and characters outside long-settled
+#: blocks: libraries and Unicode versions may class them differently, so what
+#: holds one is cut into pre-tokens by the tokenizers library.
+ODD = re.compile("[^\t\n\r\x20-\x7e¡-ԯ‐-‧‰-⁞、-ヿ一-龥가-힣]").search
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+SLICE_BYTES = 2 << 20
 
 
 def splitter():
@@ -55,21 +59,34 @@ def load_tokenizer(spec: str):
     return cache[key]
 
 
-def frequent_table(docs: DataFrame, spec: str, sample_docs: int, table_size: int) -> dict[str, int]:
-    """Token counts of the most frequent pre-tokens of a bounded sample."""
-    tok, split, counts = load_tokenizer(spec), splitter(), Counter()
-    for row in docs.select(F.substring("text", 1, 20_000).alias("text")).where("text is not null").take(sample_docs):
-        counts.update(split(row.text))
-    keys = [k for k, _ in counts.most_common(table_size)]
-    return dict(zip(keys, map(len, tok.encode_batch_fast(keys, add_special_tokens=False)), strict=True))
+def frequent_table(docs: DataFrame, spec: str, sample_docs: int, table_size: int, entry_bytes: int) -> dict[str, int]:
+    """Token counts of the most frequent pre-tokens of a sample of whole texts."""
+    share = max(1, docs.count() // max(sample_docs, 1))
+    # Copies of a text have ids of their own, so none fills the sample.
+    drawn = F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.substring("text", 1, 64)), F.lit(share)) == 0
+
+    def run(batches):
+        split, counts = splitter(), Counter()
+        for batch in batches:
+            for part in slices(batch, "text", SLICE_BYTES):
+                for text in part.column(0).to_pylist():
+                    counts.update(p for p in split(text) if len(p.encode()) <= entry_bytes)
+            counts = Counter(dict(counts.most_common(4 * table_size)))
+        rows = counts.most_common(table_size)
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["part", "n"])
+
+    sample = small_batches(docs.where("text is not null").where(drawn).select("text")).mapInArrow(released(run), "part string, n long")
+    top = sample.groupBy("part").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "part").limit(table_size)
+    keys = [r.part for r in top.collect()]
+    return dict(zip(keys, map(len, load_tokenizer(spec).encode_batch_fast(keys, add_special_tokens=False)), strict=True))
 
 
 class Counting:
     """The two tiers in a worker.
 
     A text is cut before every space; where each piece starts with a single
-    space, no pre-token spans a cut, so pieces can be counted and cached alone.
-    Other texts are split whole.
+    space, no pre-token spans a cut, so a piece is one pre-token or a few whole
+    ones.  Other texts are split whole.
     """
 
     def __init__(self, spec: str, frequent: dict[str, int], cache_size: int):
@@ -78,72 +95,65 @@ class Counting:
         self.cache = worker_cache().setdefault(("token counts", hash(spec)), {})
         self.uneven = re.compile(r" (?:\s|$)|\s $").search
 
-    def lengths(self, parts: set[str]) -> dict[str, int]:
-        """Token counts of pre-tokens: the broadcast table, else the library."""
-        new = [p for p in parts if p not in self.frequent]
-        coded = dict(zip(new, map(len, self.tok.encode_batch_fast(new, add_special_tokens=False))))
-        return {p: self.frequent[p] if p in self.frequent else coded[p] for p in parts}
-
-    def whole(self, text: str) -> int | None:
-        """The count of a text that can't be cut into pieces."""
-        if any(s in text for s in self.special) or not text.isascii() and ODD(text):
-            return len(self.tok.encode(text, add_special_tokens=False))
-        if self.uneven(text):
-            parts = self.split(text)
-            return sum(map(self.lengths(set(parts)).__getitem__, parts))
-        return None
+    def lookup(self, parts: set[str]) -> dict[str, int]:
+        """Counts of parts of text that begin and end with pre-tokens: table, cache, then library."""
+        known = {p: self.frequent[p] for p in parts & self.frequent.keys()}
+        missing = parts - known.keys()
+        cached = missing & self.cache.keys()
+        known.update((p, self.cache[p]) for p in cached)
+        new = list(missing - cached)
+        if new:
+            if len(self.cache) + len(new) > self.cache_size:
+                self.cache.clear()
+            coded = dict(zip(new, self.encode(new)))
+            self.cache.update(coded if len(coded) <= self.cache_size else {})
+            known |= coded
+        return known
+
+    def encode(self, parts: list[str]) -> list[int]:
+        """Counts of parts that are in no tier, by their pre-tokens."""
+        rows = [self.split(p) for p in parts]
+        tokens = {t for row in rows if len(row) > 1 for t in row}
+        whole = [row[0] for row in rows if len(row) == 1]
+        lengths = dict(zip(whole, map(len, self.tok.encode_batch_fast(whole, add_special_tokens=False))))
+        lengths |= self.lookup(tokens - lengths.keys()) if tokens else {}
+        return [sum(map(lengths.__getitem__, row)) for row in rows]
+
+    def alone(self, text: str) -> bool:
+        """Whether the library must see the text whole."""
+        return any(s in text for s in self.special) or ODD(text) is not None
 
     def counts(self, texts: list[str]) -> list[int]:
         rows: list = []
         for text in texts:
-            n = self.whole(text)
-            if n is None:
-                first, *pieces = text.split(" ")
-                n = ["\0" + first, *pieces] if first else pieces
-            rows.append(n)
+            if self.alone(text):
+                rows.append(len(self.tok.encode(text, add_special_tokens=False)))
+            elif self.uneven(text):
+                rows.append(self.split(text))
+            else:
+                first, *rest = text.split(" ")
+                rows.append(([first] if first else []) + [" " + p for p in rest])
         lists = [r for r in rows if isinstance(r, list)]
-        needed = set().union(*lists)
-        new = needed - self.cache.keys()
-        if new:
-            self.learn(new, needed)
-        get = self.cache.__getitem__
+        get = self.lookup(set().union(*lists)).__getitem__ if lists else None
         return [sum(map(get, r)) if isinstance(r, list) else r for r in rows]
 
-    def learn(self, new: set[str], needed: set[str]) -> None:
-        """Cache pieces, kept without their space; a first piece is marked by NUL."""
-        if len(self.cache) + len(new) > self.cache_size:
-            self.cache.clear()
-            new = needed
-        firsts = [p for p in new if p[:1] == "\0"]
-        rest = [p for p in new if p and p[0] != "\0"]
-        rows = [self.split(p[1:]) for p in firsts]
-        # Pieces joined again: each begins at a pre-token that starts with a space.
-        tokens = self.split(" " + " ".join(rest)) if rest else []
-        lengths = self.lengths({*tokens, *(x for row in rows for x in row)})
-        self.cache.update((p, sum(map(lengths.__getitem__, row))) for p, row in zip(firsts, rows))
-        if rest:
-            counts = np.fromiter(map(lengths.__getitem__, tokens), np.int64, len(tokens))
-            begins = np.flatnonzero(np.fromiter((t[0] == " " for t in tokens), bool, len(tokens)))
-            self.cache.update(zip(rest, np.add.reduceat(counts, begins).tolist()))
-        if "" in new:
-            self.cache[""] = 0
-
-
-def count_tokens(docs: DataFrame, spec: str, limit: int = 512, sample_docs: int = 2000, table_size: int = 65_536, cache_size: int = 1_000_000) -> DataFrame:
+
+def count_tokens(docs: DataFrame, spec: str, limit: int = 512, sample_docs: int = 2000, table_size: int = 65_536, entry_bytes: int = 64, cache_size: int = 500_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row of ``docs``.
 
     ``spec`` is the JSON text of a byte-level BPE tokenizer.  Texts that hold
-    one of its special strings are encoded whole by the library.
+    one of its special strings or an odd character are encoded whole by the
+    library.
     """
     docs = docs.select("doc_id", "text")
-    table = docs.sparkSession.sparkContext.broadcast((spec, frequent_table(docs, spec, sample_docs, table_size)))
+    table = docs.sparkSession.sparkContext.broadcast((spec, frequent_table(docs, spec, sample_docs, table_size, entry_bytes)))
 
     def run(batches):
         spec, frequent = table.value
         counter = Counting(spec, frequent, cache_size)
         for batch in batches:
             sizes, totals = np.diff(text_buffers(batch.column(1))[1]), []
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 totals += counter.counts([t or "" for t in part.column(1).to_pylist()])
             n_tokens = pa.array(totals, pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -151,4 +161,4 @@ def count_tokens(docs: DataFrame, spec: str, limit: int = 512, sample_docs: int
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.mapInArrow(run, SCHEMA)
+    return small_batches(docs).mapInArrow(released(run), SCHEMA)
