@@ -5,7 +5,9 @@ together: one symbol array holds them all, an index maps each mergeable pair to
 all its positions, active ranks are taken in ascending order, and each merge
 updates the lists of the neighbouring pairs.  Since the lowest active rank of
 all words is also the lowest of its own word, every word gets the ids that the
-tokenizers library gives.
+tokenizers library gives.  Chunks of rare scripts or control characters are cut
+into words by the library and encoded by the index; special strings are cut out
+first.
 
 Null text counts as empty (no ids, empty decoded text); repeated rows are
 encoded row by row; an empty table gives an empty result; further columns are
@@ -16,18 +18,22 @@ dropped from memory once ``word_limit`` distinct ones are held.
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from keystrata.llm.textkernel import ranges, small_batches, worker_cache
+from keystrata.llm.textkernel import fields_of, ranges, released, small_batches, worker_cache
 from keystrata.llm.token_counts import ODD, load_tokenizer
 
 #: Fixed value: the split pattern of the word-end vocabulary.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: Characters of text that are held at a time (more only for one long text).
+HELD = 4 << 20
+
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -137,7 +143,8 @@ class PairIndex:
                 pos = np.unique(pos)
                 after = nxt[pos]
             if a == b and len(pos) > 1:
-                pos = leftmost(pos, after)
+                pos = np.sort(pos)
+                pos = leftmost(pos, nxt[pos])
                 after = nxt[pos]
             if len(pos) == 0:
                 continue
@@ -159,7 +166,7 @@ class PairIndex:
 
 
 def leftmost(pos: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Non-overlapping occurrences of a pair of equal symbols, from the left."""
+    """Non-overlapping occurrences of a pair of equal symbols, from the left; ``pos`` is sorted."""
     if not np.isin(after, pos, assume_unique=True).any():
         return pos
     taken, kept = set(), []
@@ -192,8 +199,11 @@ class Encoder:
         import regex
 
         self.index, self.tok, self.word_limit = pair_index(spec), load_tokenizer(spec), word_limit
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.names = self.index.names | {i: c for c, i in self.special.items()}
         self.find = regex.compile(WORD_PATTERN + r"|\n").findall
+        self.unprintable = {c: b for b, c in enumerate(printable_bytes())}
         self.reset()
 
     def reset(self) -> None:
@@ -215,71 +225,75 @@ class Encoder:
     def intern(self, text: str) -> list[int]:
         """Numbers of the chunks between spaces and newlines.
 
-        No word spans white space, so chunks split alike alone and in a text.
+        No word spans white space, so chunks split alike alone and in a text;
+        special strings are cut out first, as the library does.
         """
         d = self.chunks
-        return [d.setdefault(w, len(d)) for w in text.replace("\n", " ").split(" ")]
+        if not self.cut or self.cut.search(text) is None:
+            return [d.setdefault(w, len(d)) for w in text.replace("\n", " ").split(" ")]
+        parts = self.cut.split(text)
+        return [n for k, part in enumerate(parts) for n in ([d.setdefault(part, len(d))] if k % 2 else [d.setdefault(w, len(d)) for w in part.replace("\n", " ").split(" ")])]
+
+    def odd_words(self, chunk: str) -> list[bytes]:
+        """Words of a chunk of odd characters, as the library normalises and splits it."""
+        pieces = self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(chunk))
+        return [bytes(map(self.unprintable.__getitem__, p)) for p, _ in pieces]
 
     def encode_new(self) -> None:
         """Ids and decoded text of the chunks interned since the last call."""
         new = list(self.chunks)[len(self.ids) :]
         if not new:
             return
-        odd = {i: self.tok.encode(c, add_special_tokens=False).ids for i, c in enumerate(new) if not c.isascii() and ODD(c)}
-        joined = "\n".join("" if i in odd else c for i, c in enumerate(new)) if odd else "\n".join(new)
+        special = {i: self.special[c] for i, c in enumerate(new) if c in self.special}
+        odd = {i: self.odd_words(c) for i, c in enumerate(new) if ODD(c)}
+        apart = odd.keys() | special.keys()
+        joined = "\n".join("" if i in apart else c for i, c in enumerate(new)) if apart else "\n".join(new)
         words: dict[str, int] = {"\n": 0}
         found = np.array([words.setdefault(w, len(words)) for w in self.find(normalise(joined))], np.int64)
-        flat, at = self.index.encode([w.encode() for w in words])
+        more: dict[bytes, int] = {}
+        odd = {i: np.array([len(words) + more.setdefault(w, len(more)) for w in own], np.int64) for i, own in odd.items()}
+        flat, at = self.index.encode([w.encode() for w in words] + list(more))
         # Words of a chunk stand between two newlines (word 0, of no ids).
         counts = np.diff(at)
         counts[0] = 0
         ends = np.append(np.flatnonzero(found == 0), len(found))
-        flat = flat[ranges(at[found], counts[found])]
-        at = np.concatenate([[0], np.cumsum(counts[found])])[np.concatenate([[0], ends])]
-        raw, shown, at = flat.astype("<u4").tobytes(), list(map(self.index.names.__getitem__, flat.tolist())), at.tolist()
-        ids = [raw[4 * i : 4 * j] for i, j in zip(at, at[1:])]
-        text = [" ".join(shown[i:j]) + " " if j > i else "" for i, j in zip(at, at[1:])]
+        used = flat[ranges(at[found], counts[found])]
+        cuts = np.concatenate([[0], np.cumsum(counts[found])])[np.concatenate([[0], ends])].tolist()
+        raw, shown = used.astype("<u4").tobytes(), list(map(self.index.names.__getitem__, used.tolist()))
+        ids = [raw[4 * i : 4 * j] for i, j in zip(cuts, cuts[1:])]
+        text = [" ".join(shown[i:j]) + " " if j > i else "" for i, j in zip(cuts, cuts[1:])]
         for i, own in odd.items():
-            ids[i] = np.array(own, "<u4").tobytes()
-            text[i] = "".join(self.index.names[x] + " " for x in own)
+            got = flat[ranges(at[own], counts[own])]
+            ids[i] = got.astype("<u4").tobytes()
+            text[i] = "".join(self.names[x] + " " for x in got.tolist())
+        for i, own in special.items():
+            ids[i], text[i] = own.to_bytes(4, "little"), self.names[own] + " "
         self.ids += ids
         self.decoded += text
 
-    def whole(self, text: str) -> tuple[bytes, str] | None:
-        """The library's result for a text that holds a special string."""
-        if any(s in text for s in self.special):
-            ids = self.tok.encode(text, add_special_tokens=False).ids
-            return np.array(ids, "<u4").tobytes(), self.tok.decode(ids, skip_special_tokens=False)
-        return None
-
     def results(self, texts):
         """(ids as little-endian bytes, decoded text) of each text, in order.
 
         Texts are held as chunk numbers until ``word_limit`` distinct chunks or
-        eight million chunks have come together, then encoded at once.
+        ``HELD`` characters have come together, then encoded at once.
         """
-        held, words = [], 0
+        held, size = [], 0
         for text in texts:
             text = text or ""
-            special = self.whole(text)
-            numbers = None if special else np.array(self.intern(text), np.int32)
-            held.append((numbers, special))
-            words += 0 if special else len(numbers)
-            if len(self.chunks) >= self.word_limit or words > 8_000_000:
+            held.append(np.array(self.intern(text), np.int32))
+            size += len(text)
+            if len(self.chunks) >= self.word_limit or size > HELD:
                 yield from self.flush(held)
-                held, words = [], 0
+                held, size = [], 0
         yield from self.flush(held)
 
     def flush(self, held):
         self.encode_new()
-        for numbers, special in held:
-            if special:
-                yield special
-            else:
-                numbers = numbers.tolist()
-                yield b"".join(map(self.ids.__getitem__, numbers)), "".join(map(self.decoded.__getitem__, numbers))[:-1]
+        for numbers in held:
+            numbers = numbers.tolist()
+            yield b"".join(map(self.ids.__getitem__, numbers)), "".join(map(self.decoded.__getitem__, numbers))[:-1]
         if len(self.chunks) >= self.word_limit:
-            self.thin(np.concatenate([np.zeros(0, np.int32), *(n for n, _ in held if n is not None)]))
+            self.thin(np.concatenate([np.zeros(0, np.int32), *held]))
 
 
 def in_runs(batches, schema, make, encoder):
@@ -302,7 +316,7 @@ def in_runs(batches, schema, make, encoder):
             del rows[:n]
 
 
-def encode_digests(docs: DataFrame, spec: str, word_limit: int = 200_000) -> DataFrame:
+def encode_digests(docs: DataFrame, spec: str, word_limit: int = 150_000) -> DataFrame:
     """doc_id, n_tokens, SHA-256 of the ids and of the decoded text."""
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
@@ -318,17 +332,17 @@ def encode_digests(docs: DataFrame, spec: str, word_limit: int = 200_000) -> Dat
 
         yield from in_runs(batches, out, make, Encoder(shared.value, word_limit))
 
-    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, DIGEST_SCHEMA)
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(released(run), DIGEST_SCHEMA)
 
 
-def encode_column(docs: DataFrame, spec: str, word_limit: int = 200_000, decoded: bool = True) -> DataFrame:
+def encode_column(docs: DataFrame, spec: str, word_limit: int = 150_000, decoded: bool = True) -> DataFrame:
     """``docs`` with ``ids`` (array of int) and, if wanted, ``decoded`` (text) appended.
 
     Columns of those names in ``docs`` are replaced.
     """
     docs = docs.drop("ids", "decoded")
     shared = docs.sparkSession.sparkContext.broadcast(spec)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    fields = fields_of(docs.schema)
 
     def run(batches):
         def out(batch, rows):
@@ -340,14 +354,14 @@ def encode_column(docs: DataFrame, spec: str, word_limit: int = 200_000, decoded
 
         yield from in_runs(batches, out, lambda got: got if decoded else (got[0], None), Encoder(shared.value, word_limit))
 
-    return small_batches(docs).mapInArrow(run, f"{fields}, ids array<int>" + ", decoded string" * decoded)
+    return small_batches(docs).mapInArrow(released(run), f"{fields}, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode_column(encoded: DataFrame, spec: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its id arrays; null ids give null text."""
     shared = encoded.sparkSession.sparkContext.broadcast(spec)
     kept = encoded.drop(to)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    fields = fields_of(kept.schema)
 
     def run(batches):
         tok = load_tokenizer(shared.value)
@@ -356,4 +370,4 @@ def decode_column(encoded: DataFrame, spec: str, ids: str = "ids", to: str = "de
             text = [None if r is None else tok.decode(r, skip_special_tokens=False) for r in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], [*batch.schema.names, to])
 
-    return kept.mapInArrow(run, f"{fields}, `{to}` string")
+    return small_batches(kept).mapInArrow(released(run), f"{fields}, `{to}` string")
