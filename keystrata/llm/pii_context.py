@@ -1,25 +1,30 @@
 """PII: base patterns, then bootstrapped contextual extraction (DataFrame only).
 
 Base spans (email, ip, card, phone) are leftmost, non-overlapping matches that
-pass their checks.  They seed a pattern-instance graph: an instance is a word
-with a digit or an at sign, a pattern is the two words before it in lower case.
-Spark scores the graph in rounds until no instance is added.  A pattern's
-support is the weight of its known instances; its confidence is their share of
-its distinct instances times the logarithm of the support, over the logarithm of
-``least_seeds``, 1 at most: the more known ones, the more unseen ones it may
-have.  Patterns that reach ``accept`` with ``least_seeds`` known instances or
-more make their further instances known, with the confidence as weight; known
-ones stay known and support other patterns as seeds do.  All further instances
-that the accepted patterns precede are spans of kind ``context``.
-
-The graph holds sums by (pattern, instance), aggregated before any shuffle of
-texts; the texts are never shuffled.  Match groups use possessive quantifiers,
-so very long runs neither overflow the stack nor take quadratic time.  Null
-text counts as empty; repeated rows get equal spans; an empty table gives an
-empty result; further columns are ignored.
+pass their checks.  They and words shaped like a key (``KEY``) are the seeds of
+a pattern-instance graph: an instance is a word with a digit or an at sign; its
+patterns, in lower case, are the two words before it, and the word before it
+with the word after it.  Spark scores the graph in rounds until no instance is
+added.  A pattern's support is the weight of its known instances; its confidence
+is their share of its distinct instances times the logarithm of the support,
+over the logarithm of ``least_seeds``, 1 at most: the more known ones, the more
+unseen ones it may have.  Patterns that reach ``accept`` with ``least_seeds``
+known instances or more make their further instances known, with the confidence
+as weight; known ones stay known and support other patterns as seeds do.  All
+instances outside base spans that an accepted pattern surrounds are spans of
+kind ``context``.
+
+Texts are scanned once and never shuffled; what they hold is written down as
+small rows.  The graph holds distinct (pattern, instance) edges as 64-bit
+hashes; accepted patterns are broadcast up to ``BROADCAST_LIMIT`` of them,
+beyond it they are joined.  Match groups use possessive quantifiers and contexts
+are cut from reversed gaps, so neither long runs nor very many matches take
+quadratic time or overflow the stack.  Null text counts as empty; repeated rows
+get equal spans; an empty table gives an empty result; further columns are
+ignored.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystrata.plans.checkpoints import own_folder
@@ -37,29 +42,43 @@ PATTERNS = {
 HINTS = {"email": r"@[A-Za-z0-9-]++\.", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
 #: A word with a digit or an at sign, cut at its letters, digits and signs.
 INSTANCE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-WINDOW = 80
+#: A word of 20 letters, digits, - and _ or more, with letters and digits, is a seed.
+KEY = r"^(?=[^0-9]*+[0-9])(?=[^A-Za-z]*+[A-Za-z])[A-Za-z0-9_-]{20,}+$"
+SPACE, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 #: Matches summed at a time.
 CHUNK = 128
+#: Hashes of patterns that are broadcast at most.
+BROADCAST_LIMIT = 500_000
 
 ACCEPT, LEAST_SEEDS = 0.9, 5
+SPANS = "array<struct<start:int,end:int,value:string,before:string,head:string>>"
 
 
-def matches(text: Column, pattern: str, kind: str) -> Column:
-    """array<struct<kind, start, end, value>> of the matches, in code points.
+def let(value: Column, f) -> Column:
+    """f(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
+
+def matches(text: Column, pattern: str, contexts: bool = False) -> Column:
+    """Start, end and value of the matches, in code points.
+
+    With ``contexts``, also the last two words of what stands between a match
+    and the one before, and the first word behind it (empty if there is none).
     The pieces between matches give their places.  Lengths are summed within
     chunks of matches, then over chunks, so that a text with very many matches
     doesn't copy a growing array for each of them.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    pairs = F.filter(F.arrays_zip(pieces.alias("gap"), found.alias("value")), lambda p: p["value"].isNotNull())
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,lead:string>>")
+    none = F.array().cast(SPANS)
+
+    def span(start, end, value, before, head):
+        return F.struct(start.alias("start"), end.alias("end"), value.alias("value"), before.alias("before"), head.alias("head"))
 
     def step(acc, p):
         start = acc["at"] + F.length(p["gap"])
         end = start + F.length(p["value"])
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span(kind, start, end, p["value"], F.right(p["gap"], F.lit(WINDOW))))).alias("spans"))
+        own = span(start, end, p["value"], last_two(p["gap"]), first_word(p["next"])) if contexts else span(start, end, p["value"], F.lit(""), F.lit(""))
+        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(own)).alias("spans"))
 
     def chunked(pairs):
         count = F.ceil(F.size(pairs) / CHUNK).cast("int")
@@ -69,16 +88,23 @@ def matches(text: Column, pattern: str, kind: str) -> Column:
     def placed(parts):
         starts = F.aggregate(parts, F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + c["at"])))
         both = F.arrays_zip(parts.alias("part"), F.slice(starts, 1, F.size(parts)).alias("from"))
-        return F.flatten(F.transform(both, lambda x: F.transform(x["part"]["spans"], lambda s: span(kind, s["start"] + x["from"], s["end"] + x["from"], s["value"], s["lead"]))))
+        return F.flatten(F.transform(both, lambda x: F.transform(x["part"]["spans"], lambda s: span(s["start"] + x["from"], s["end"] + x["from"], s["value"], s["before"], s["head"]))))
+
+    def zipped(pieces):
+        """Each match with the pieces before and behind it."""
+        pairs = F.arrays_zip(pieces.alias("gap"), found.alias("value"), F.slice(pieces, F.lit(2), F.size(pieces)).alias("next"))
+        return F.filter(pairs, lambda p: p["value"].isNotNull())
 
-    # let(x, f): f(x) with x computed once.
-    let = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
-    return let(pairs, lambda p: F.when(F.size(p) > 0, let(chunked(p), placed)).otherwise(none))
+    return let(let(F.split(text, pattern, -1), zipped), lambda p: F.when(F.size(p) > 0, let(chunked(p), placed)).otherwise(none))
 
 
-def span(kind: str, start: Column, end: Column, value: Column, lead: Column) -> Column:
-    """A match; ``lead`` is the end of what stands between it and the one before."""
-    return F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), value.alias("value"), lead.alias("lead"))
+def last_two(text: Column) -> Column:
+    """The last two words of a text, with what stands between them."""
+    return F.reverse(F.regexp_extract(F.reverse(text), f"^{SPACE}*+{WORD}*+(?:{SPACE}++{WORD}++)?", 0))
+
+
+def first_word(text: Column) -> Column:
+    return F.regexp_extract(text, f"^{SPACE}*+({WORD}*+)", 1)
 
 
 def digits(value: Column) -> Column:
@@ -107,53 +133,67 @@ def checker(kind: str):
     return lambda s: passes(kind, s["value"])
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with an array column of checked spans by kind."""
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,lead:string>>")
-    out = docs
-    for kind in KINDS:
-        raw = F.when(F.col("text").rlike(HINTS[kind]), matches(F.col("text"), PATTERNS[kind], kind)).otherwise(none)
-        out = out.withColumn(f"raw_{kind}", raw)
-    for kind in KINDS:
-        out = out.withColumn(kind, F.filter(f"raw_{kind}", checker(kind)))
-    return out.drop(*(f"raw_{k}" for k in KINDS))
+def base_spans(text: Column, kind: str) -> Column:
+    """Start and end of the checked base spans of a kind."""
+    none = F.array().cast(SPANS)
+    raw = F.when(text.rlike(HINTS[kind]), matches(text, PATTERNS[kind])).otherwise(none)
+    return F.transform(F.filter(raw, checker(kind)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
+
+def surrounded(found: str) -> Column:
+    """Instances without the signs around them, each with hashes of its patterns."""
+
+    def own(s, i):
+        one, two, after = F.get(found, i - 1), F.get(found, i - 2), F.get(found, i + 1)
+        # A match behind another one without a word between them has it as context.
+        lead = F.concat_ws(" ", two["value"], one["before"], one["value"], s["before"])
+        words = F.split(F.trim(F.regexp_replace(F.lower(last_two(lead)), f"{SPACE}++", " ")), " ")
+        right = F.lower(F.when(s["head"] != "", s["head"]).otherwise(F.coalesce(after["value"], F.lit(""))))
+        left = F.element_at(words, -1)
+        skip = F.length(F.regexp_extract(s["value"], r"^[^\p{L}0-9+]*+", 0))
+        inner = F.regexp_extract(s["value"], r"(?s)[\p{L}0-9+](?:.*[\p{L}0-9])?", 0)
+        start = s["start"] + skip
+        return F.struct(
+            start.alias("start"), (start + F.length(inner)).alias("end"), F.xxhash64(inner).alias("instance"), inner.rlike(KEY).alias("key"), (inner != "").alias("real"),
+            F.when(left != "", F.xxhash64(F.lit("before"), F.array_join(words, " "))).alias("p1"),
+            F.when((left != "") & (right != ""), F.xxhash64(F.lit("around"), left, right)).alias("p2"),
+        )
 
+    return F.filter(F.transform(found, own), lambda s: s["real"])
 
-def last_words(text: Column, n: int) -> Column:
-    """The last n words of a text's last WINDOW characters, lower case."""
-    tail = F.lower(F.substring(text, F.greatest(F.length(text) - WINDOW + 1, F.lit(1)), F.lit(WINDOW)))
-    words = F.filter(F.split(tail, r"[\x20\x09-\x0D]++", -1), lambda w: w != "")
-    return F.array_join(F.slice(words, F.greatest(F.size(words) - n + 1, F.lit(1)), F.lit(n)), " ")
 
+def scanned(docs: DataFrame) -> DataFrame:
+    """row, doc_id, an array of spans by kind, and the instances: all that is read of the texts."""
+    text = F.col("text")
+    found = F.when(text.rlike("[0-9@]"), matches(text, INSTANCE, True)).otherwise(F.array().cast(SPANS))
+    own = docs.select("doc_id", *(base_spans(text, k).alias(k) for k in KINDS), found.alias("found"))
+    return own.select(F.monotonically_increasing_id().alias("row"), "doc_id", *KINDS, surrounded("found").alias("found"))
 
-def trimmed(word: Column) -> Column:
-    """A word without the signs around it."""
-    return F.regexp_extract(word, r"[\p{L}0-9+](?:.*[\p{L}0-9])?", 0)
 
+def instances(rows: DataFrame) -> DataFrame:
+    """One row for each instance: place, hashes, ``base`` (it overlaps a base span) and ``seed``.
 
-def instances(spans: DataFrame) -> DataFrame:
-    """One row for each instance: its pattern, place, value, and whether it is a seed."""
-    found = F.when(F.col("text").rlike("[0-9@]"), matches(F.col("text"), INSTANCE, "context"))
-    rows = spans.select("doc_id", F.concat(*KINDS).alias("known"), found.alias("found"))
+    In order of the instances' ends and the base spans' starts, a base span
+    overlaps an instance if one of those before it ends behind its start.
+    """
+    known = rows.select("row", F.explode(F.concat(*KINDS)).alias("s")).select("row", F.col("s.start").alias("at"), F.lit(1).alias("kind"), F.col("s.end").alias("reach"))
+    own = rows.select("row", F.explode("found").alias("s"))
+    own = own.select("row", F.col("s.end").alias("at"), F.lit(0).alias("kind"), "s")
+    both = own.unionByName(known, allowMissingColumns=True)
+    so_far = Window.partitionBy("row").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    marked = both.withColumn("reach", F.max("reach").over(so_far)).where("kind = 0")
+    base = F.coalesce(F.col("reach") > F.col("s.start"), F.lit(False))
+    return marked.select("row", "s.start", "s.end", "s.instance", "s.p1", "s.p2", base.alias("base"), (base | F.col("s.key")).alias("seed"))
 
-    def led(s, i):
-        """Two words before a match lie in its lead and the match before."""
-        last = F.get("found", i - 1)
-        lead = F.concat(F.coalesce(F.concat(last["lead"], F.right(last["value"], F.lit(WINDOW))), F.lit("")), s["lead"])
-        return F.struct(s["start"].alias("start"), s["value"].alias("value"), lead.alias("lead"))
 
-    rows = rows.select("doc_id", "known", F.explode(F.transform("found", led)).alias("s"))
-    skip = F.greatest(F.expr("instr(s.value, trimmed)") - 1, F.lit(0))
-    rows = rows.select("doc_id", "known", "s", last_words(F.col("s.lead"), 2).alias("pattern"), trimmed(F.col("s.value")).alias("trimmed"))
-    start = F.col("s.start") + skip
-    rows = rows.withColumns({"start": start, "end": start + F.length("trimmed")}).where("trimmed <> '' and pattern <> ''")
-    seed = F.exists("known", lambda k: (k["start"] < F.col("end")) & (k["end"] > F.col("start")))
-    return rows.select("doc_id", "pattern", F.col("trimmed").alias("instance"), "start", "end", seed.alias("seed"))
+def few(keys: DataFrame, limit: int) -> DataFrame:
+    """``keys``, marked for broadcast if there are no more than ``limit``."""
+    return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
 
 
-def confident_patterns(graph: DataFrame, accept: float, least_seeds: int) -> DataFrame:
-    """Patterns that end at ``accept``, from (pattern, instance, seed) sums."""
-    known = graph.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("weight"))
+def confident_patterns(graph: DataFrame, accept: float, least_seeds: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """Patterns that end at ``accept``, from (pattern, instance, seed) edges."""
+    known = graph.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("weight")).checkpoint()
     before = -1
     while True:
         edges = graph.select("pattern", "instance").join(known, "instance")
@@ -163,7 +203,7 @@ def confident_patterns(graph: DataFrame, accept: float, least_seeds: int) -> Dat
             F.sum((F.col("weight") > 0).cast("long")).alias("known"),
         )
         accepted = scored.where((F.col("confidence") >= accept) & (F.col("known") >= least_seeds)).select("pattern", "confidence").checkpoint()
-        best = graph.join(accepted, "pattern").groupBy("instance").agg(F.max("confidence").alias("best"))
+        best = graph.join(few(accepted, limit), "pattern").groupBy("instance").agg(F.max("confidence").alias("best"))
         known = known.join(best, "instance", "left").select("instance", F.greatest("weight", F.coalesce("best", F.lit(0.0))).alias("weight")).checkpoint()
         now = known.where("weight > 0").count()
         if now == before:
@@ -171,18 +211,20 @@ def confident_patterns(graph: DataFrame, accept: float, least_seeds: int) -> Dat
         before = now
 
 
-def find(docs: DataFrame, accept: float = ACCEPT, least_seeds: int = LEAST_SEEDS) -> DataFrame:
+def find(docs: DataFrame, accept: float = ACCEPT, least_seeds: int = LEAST_SEEDS, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """doc_id, counts by kind, base_sha256 and spans of every row."""
     own_folder(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    spans = base_spans(docs)
-    rows = instances(spans)
-    seen = rows.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")).checkpoint()
-    patterns = confident_patterns(seen, accept, least_seeds)
-    # Places of further instances under confident patterns, by document.
-    more = rows.where("not seed").join(patterns, "pattern", "left_semi")
-    placed = more.groupBy(F.col("doc_id").alias("more_id")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("more"))
-    out = spans.drop("text").join(placed, F.col("doc_id") == F.col("more_id"), "left")
+    rows = scanned(docs).checkpoint()
+    places = instances(rows).checkpoint()
+    edges = places.select(F.explode(F.array("p1", "p2")).alias("pattern"), "instance", "seed").where("pattern is not null")
+    graph = edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")).checkpoint()
+    patterns = few(confident_patterns(graph, accept, least_seeds, limit), limit)
+    # Places of instances under confident patterns, by row.
+    more = places.where("not base")
+    hits = [more.join(patterns, more[p] == patterns["pattern"], "left_semi").select("row", "start", "end") for p in ("p1", "p2")]
+    placed = hits[0].unionByName(hits[1]).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("more"))
+    out = rows.drop("found").join(placed, "row", "left")
 
     def shown(kind, column):
         return F.transform(column, lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["end"]))
