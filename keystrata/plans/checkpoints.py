@@ -1,17 +1,47 @@
 """Where lineage is cut: the cluster's shared checkpoint folder."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only for sessions that set none, as on one machine.
+#: Only for sessions on one machine that set none.
 FALLBACK = "/tmp/checkpoints"
 
 
-def own_folder(spark: SparkSession) -> None:
-    """Keep the session's checkpoint folder; set one only where there is none."""
+def own_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; one is set only where there is none.
+
+    Executors of a cluster don't share a local folder, so there it must be set.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", FALLBACK))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or FALLBACK)
+    return sc.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read again.
+
+    For iterations: a checkpoint keeps the size that was estimated for its plan,
+    which joins multiply round by round, and files have their own.
+    """
+    path = f"{own_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def forget(*written_rows: DataFrame) -> None:
+    """Delete the files behind rows that ``written`` returned."""
+    for df in written_rows:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def dealt_by_range(df: DataFrame, column: str) -> DataFrame:
