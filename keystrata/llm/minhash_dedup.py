@@ -11,8 +11,10 @@
    by distributed union-find (large star, small star).
 4. Verification: the full shingle sets of a cluster's members come together,
    and links are confirmed exactly.  Pairs already connected need no test.
-   A cluster whose sets exceed ``block_items`` is cut into blocks, and every
-   pair of blocks is a task of its own: bounded memory, no pair lost.
+   A cluster whose sets exceed ``block_items`` is cut into blocks.  Each block
+   is verified alone; then the least members of the components so found, and
+   last, only in clusters that are still in parts, every pair of blocks, where
+   members of one part aren't compared again: bounded memory, no pair lost.
 5. Confirmed links are closed by union-find; components take their smallest
    doc_id.
 
@@ -28,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.textkernel import ASCII_LOWER, GOLD, mix64, ranges, slices, small_batches, text_buffers, window_hashes, word_hashes, word_spans
-from keystrata.plans.checkpoints import own_folder
+from keystrata.llm.textkernel import ASCII_LOWER, GOLD, mix64, ranges, released, slices, small_batches, text_buffers, window_hashes, word_hashes, word_spans
+from keystrata.plans.checkpoints import forget, own_folder, written
 
 #: 32 bands of 5 rows: a pair of similarity 0.85 is missed with chance 1e-8, one
 #: of 0.8 with chance 3e-6.
@@ -142,28 +144,29 @@ def describe(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands), flat)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), pa.array(sums[0], mask=empty), pa.array(sums[1], mask=empty), lists], ["doc_id", "n_shingles", "set1", "set2", "bands"])
 
-    return small_batches(docs).mapInArrow(run, "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>")
+    return small_batches(docs).mapInArrow(released(run), "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>")
 
 
 def close(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root): connected components, each named by its least node.
 
     Alternating large-star and small-star steps on (a, b) edges until nothing
-    changes; each round is cut from its lineage by a checkpoint.  Roots and
-    nodes without an edge do not appear as nodes.
+    changes; each round is written down and the one before deleted.  Minima are
+    written down before they are joined, so that Spark can split the edges of a
+    hub.  Roots and nodes without an edge do not appear as nodes.
     """
-    own_folder(edges.sparkSession)
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = state(now)
     for _ in range(rounds):
         # Large star: neighbours above a node move to its least neighbour.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().checkpoint()
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # Small star: a node and its lower neighbours move to the least of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        now = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        last, now = now, written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        forget(last, least, large, low)
         after = state(now)
         if after == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -176,17 +179,18 @@ def state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
-def confirm(keys: np.ndarray, off: np.ndarray, ids: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def confirm(keys: np.ndarray, off: np.ndarray, ids: np.ndarray, percent: int, part: np.ndarray | None = None, block: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links (a forest of them) between sets that reach the similarity.
 
     Each set in turn is held against all later ones that it isn't connected
     with yet, in one vectorised pass over their elements; once all are
     connected, nothing is left to do.  So a group of near copies costs a pass
-    or two, and sets that stay apart are compared exactly.
+    or two, and sets that stay apart are compared exactly.  Sets of one ``part``
+    are known to be connected, those of one ``block`` to have been compared.
     """
     n, sizes = len(off) - 1, np.diff(off)
     universe, elem = np.unique(keys, return_inverse=True)
-    label, links = np.arange(n), []
+    label, links = np.arange(n) if part is None else np.unique(part, return_inverse=True)[1].astype(np.int64), []
     held = np.zeros(len(universe), np.bool_)
     for p in range(n - 1):
         later = np.arange(p + 1, n)[label[p + 1 :] != label[p]]
@@ -195,14 +199,15 @@ def confirm(keys: np.ndarray, off: np.ndarray, ids: np.ndarray, percent: int) ->
                 break
             continue
         near = (100 * np.minimum(sizes[later], sizes[p])) >= percent * np.maximum(sizes[later], sizes[p])
-        later = later[near]
+        later = later[near if block is None else near & (block[later] != block[p])]
         if len(later) == 0:
             continue
         held[elem[off[p] : off[p + 1]]] = True
-        hits = held[elem[ranges(off[later], sizes[later])]] if 2 * len(later) < n - p else held[elem[off[later[0]] :]]
-        begin = np.concatenate([[0], np.cumsum(sizes[later])[:-1]]) if 2 * len(later) < n - p else off[later[0] : n] - off[later[0]]
+        few = 2 * len(later) < n - p
+        hits = held[elem[ranges(off[later], sizes[later])]] if few else held[elem[off[later[0]] :]]
+        begin = np.concatenate([[0], np.cumsum(sizes[later])[:-1]]) if few else off[later[0] : n] - off[later[0]]
         common = np.add.reduceat(hits, begin, dtype=np.int64)
-        common = common if 2 * len(later) < n - p else common[later - later[0]]
+        common = common if few else common[later - later[0]]
         held[elem[off[p] : off[p + 1]]] = False
         linked = later[100 * common >= percent * (sizes[later] + sizes[p] - common)]
         if len(linked):
@@ -212,14 +217,59 @@ def confirm(keys: np.ndarray, off: np.ndarray, ids: np.ndarray, percent: int) ->
     return links
 
 
-def components(docs: DataFrame, size: int = 3, percent: int = 85, bands: int = BANDS, rows: int = ROWS, block_items: int = 1_000_000) -> DataFrame:
+def verified(tasks: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between the members (rep, text, part, block) of each (root, task)."""
+
+    def verify(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rep").combine_chunks()
+        ids = table.column("rep").to_numpy()
+        fresh = np.concatenate([[True], ids[1:] != ids[:-1]])
+        table, ids = table.filter(pa.array(fresh)).combine_chunks(), ids[fresh]
+        keys, off = shingle_sets(table.column("text").combine_chunks(), size)
+        block = table.column("block").to_numpy()
+        links = confirm(keys, off, ids, percent, table.column("part").to_numpy(), None if (block == block[0]).all() else block)
+        a, b = zip(*links) if links else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return tasks.groupBy("root", "task").applyInArrow(verify, "a long, b long").checkpoint()
+
+
+def confirmed(docs: DataFrame, members: DataFrame, size: int, percent: int, block_items: int) -> DataFrame:
+    """(node, root) of the components that exact links make within the clusters."""
+
+    def with_texts(placed):
+        return docs.join(placed, docs.doc_id == placed.rep).select("rep", "text", "root", "task", "part", "block")
+
+    placed = blocks(members, block_items).checkpoint()
+    links = verified(with_texts(placed.select("rep", "root", F.col("block").cast("long").alias("task"), F.col("rep").alias("part"), "block")), size, percent)
+    roots = close(links)
+    large = placed.where("blocks > 1").drop("block", "blocks")
+    if large.isEmpty():
+        return roots
+    # The least members of the components of a large cluster.
+    parts = large.join(roots, large.rep == roots.node, "left").select("rep", large.root.alias("root"), "n_shingles", F.coalesce(roots.root, "rep").alias("part"))
+    least = blocks(parts.where("rep = part"), block_items)
+    links = links.unionByName(verified(with_texts(least.select("rep", "root", F.col("block").cast("long").alias("task"), "part", "block")), size, percent))
+    roots = close(links)
+    parts = large.join(roots, large.rep == roots.node, "left").select("rep", large.root.alias("root"), "n_shingles", F.coalesce(roots.root, "rep").alias("part")).checkpoint()
+    # Clusters in parts: what is left are pairs of parts in different blocks.
+    open_ = parts.groupBy("root").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("root").checkpoint()
+    if open_.isEmpty():
+        return roots
+    rest = placed.select("rep", "block", "blocks").join(parts.join(open_, "root", "left_semi"), "rep")
+    tasks = with_texts(rest.select("rep", "root", "part", "block", F.explode(pairs_of(F.col("block"), F.col("blocks"))).alias("task")))
+    return close(links.unionByName(verified(tasks, size, percent)))
+
+
+def components(docs: DataFrame, size: int = 3, percent: int = 85, bands: int = BANDS, rows: int = ROWS, block_items: int = 200_000) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
     Two documents are linked when their shingle sets reach a Jaccard similarity
     of ``percent`` hundredths, confirmed on the full sets.
     """
-    spark = docs.sparkSession
-    own_folder(spark)
+    if not 0 < bands * rows <= 256:
+        raise ValueError("a signature has 1 to 256 slots")
+    own_folder(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = describe(docs, size, bands, rows).checkpoint()
     filled = described.where("n_shingles > 0 and doc_id is not null")
@@ -233,24 +283,8 @@ def components(docs: DataFrame, size: int = 3, percent: int = 85, bands: int = B
     clusters = close(stars)
     clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
 
-    # Blocks of a cluster by running set size; every pair of blocks is a task.
     members = clusters.join(heads, clusters.node == heads.rep).select("rep", "root", "n_shingles")
-    placed = blocks(members, block_items)
-    texts = docs.join(placed, docs.doc_id == placed.rep).select("rep", "text", "root", "block", "blocks")
-    tasks = texts.select(F.struct("rep", "text").alias("m"), "root", F.explode(pairs_of(F.col("block"), F.col("blocks"))).alias("pair")).select("root", "pair", "m.*")
-
-    def verify(table: pa.Table) -> pa.Table:
-        table = table.sort_by("rep").combine_chunks()
-        ids = table.column("rep").to_numpy()
-        fresh = np.concatenate([[True], ids[1:] != ids[:-1]])
-        table, ids = table.filter(pa.array(fresh)).combine_chunks(), ids[fresh]
-        keys, off = shingle_sets(table.column("text").combine_chunks(), size)
-        links = confirm(keys, off, ids, percent)
-        a, b = zip(*links) if links else ((), ())
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    links = tasks.groupBy("root", "pair").applyInArrow(verify, "a long, b long").checkpoint()
-    roots = close(links)
+    roots = confirmed(docs, members, size, percent, block_items)
     of_class = heads.join(roots, heads.rep == roots.node, "left").select("set1", "set2", F.coalesce("root", "rep").alias("component_id"))
     mine = F.when(F.col("doc_id").isNotNull(), F.col("set1")).alias("set1")
     return (
@@ -281,8 +315,7 @@ def blocks(members: DataFrame, block_items: int) -> DataFrame:
 def pairs_of(block, blocks):
     """Numbers of the block pairs that hold a block; one block: pair 0 alone.
 
-    Pair (i, j) with i < j has number i * blocks + j.  Pairs inside a block are
-    tested wherever the block comes up with its neighbour.
+    Pair (i, j) with i < j has number i * blocks + j.
     """
     others = F.filter(F.sequence(F.lit(0), blocks - 1), lambda x: x != block)
     return F.when(blocks == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(others, lambda x: (F.least(x, block) * blocks + F.greatest(x, block)).cast("long")))

@@ -56,6 +56,13 @@ def small_batches(df):
     return df
 
 
+def few(keys, limit: int):
+    """``keys``, marked for broadcast if there are no more than ``limit`` of them."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
+
+
 def fields_of(schema) -> str:
     """The DDL of a schema's fields."""
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)

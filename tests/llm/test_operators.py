@@ -140,6 +140,15 @@ def test_minhash_blocks(spark):
     assert got == components(dict(docs))
 
 
+def test_minhash_chain_over_blocks(spark):
+    """Only neighbours of a chain are linked, so links lie between any members of the blocks."""
+    words_ = [f"w{i}" for i in range(300)]
+    docs = {(i * 7) % 60: " ".join(words_[3 * i : 3 * i + 60]) for i in range(60)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.components(df, block_items=400).collect()}
+    assert got == components(docs) and len({c for _, c, _ in got.values()}) == 1
+
+
 def test_super_minhash_estimates():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 400).astype(np.uint64)
