@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.textkernel import GOLD, fields_of, mix64, ranges, released, slices, small_batches, text_buffers, word_hashes, word_spans
+from keystrata.llm.textkernel import GOLD, few, fields_of, mix64, ranges, released, slices, small_batches, text_buffers, word_hashes, word_spans
 from keystrata.plans.checkpoints import own_folder
 
 DEPTH, SIMILARITY, MIN_DOCS, LEAST_TOKENS = 3, 0.7, 10, 3
@@ -187,11 +187,11 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
     distinct = used.groupBy("template", "signature").agg(F.first("slots").alias("slots")).checkpoint()
     often = distinct.groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("template")
     # A slot is led by the smallest signature that has it.
-    slots = distinct.join(often, "template", "left_semi").select("template", "signature", F.posexplode("slots").alias("slot", "value"))
+    slots = distinct.join(few(often.checkpoint(), broadcast_limit), "template", "left_semi").select("template", "signature", F.posexplode("slots").alias("slot", "value"))
     first = slots.groupBy("template", "slot", "value").agg(F.min("signature").alias("first"))
     led = slots.join(first, ["template", "slot", "value"]).groupBy("template", "signature").agg(F.sum((F.col("first") < F.col("signature")).cast("int")).alias("led"))
     recur = led.where(F.col("led") < ALIKE).groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    return of_line.join(recur.select("template"), "template", "left_semi").select("whole").distinct().checkpoint()
+    return of_line.join(few(recur.select("template").checkpoint(), broadcast_limit), "template", "left_semi").select("whole").distinct().checkpoint()
 
 
 def kept_lines(text: str, gone: set[int]) -> str:

@@ -27,7 +27,8 @@ ignored.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keystrata.plans.checkpoints import own_folder
+from keystrata.llm.textkernel import few
+from keystrata.plans.checkpoints import forget, own_folder, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, with group repetition made possessive and
@@ -186,15 +187,9 @@ def instances(rows: DataFrame) -> DataFrame:
     return marked.select("row", "s.start", "s.end", "s.instance", "s.p1", "s.p2", base.alias("base"), (base | F.col("s.key")).alias("seed"))
 
 
-def few(keys: DataFrame, limit: int) -> DataFrame:
-    """``keys``, marked for broadcast if there are no more than ``limit``."""
-    return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
-
-
 def confident_patterns(graph: DataFrame, accept: float, least_seeds: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Patterns that end at ``accept``, from (pattern, instance, seed) edges."""
-    known = graph.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("weight")).checkpoint()
-    before = -1
+    known, before = written(graph.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("weight"))), -1
     while True:
         edges = graph.select("pattern", "instance").join(known, "instance")
         support = F.sum("weight")
@@ -202,12 +197,15 @@ def confident_patterns(graph: DataFrame, accept: float, least_seeds: int, limit:
             F.least(F.lit(1.0), support / F.count("*") * F.log2(F.greatest(support, F.lit(1.0))) / F.log2(F.lit(float(max(least_seeds, 2))))).alias("confidence"),
             F.sum((F.col("weight") > 0).cast("long")).alias("known"),
         )
-        accepted = scored.where((F.col("confidence") >= accept) & (F.col("known") >= least_seeds)).select("pattern", "confidence").checkpoint()
+        accepted = written(scored.where((F.col("confidence") >= accept) & (F.col("known") >= least_seeds)).select("pattern", "confidence"))
         best = graph.join(few(accepted, limit), "pattern").groupBy("instance").agg(F.max("confidence").alias("best"))
-        known = known.join(best, "instance", "left").select("instance", F.greatest("weight", F.coalesce("best", F.lit(0.0))).alias("weight")).checkpoint()
+        last, known = known, written(known.join(best, "instance", "left").select("instance", F.greatest("weight", F.coalesce("best", F.lit(0.0))).alias("weight")))
+        forget(last)
         now = known.where("weight > 0").count()
         if now == before:
+            forget(known)
             return accepted.select("pattern")
+        forget(accepted)
         before = now
 
 
@@ -218,7 +216,7 @@ def find(docs: DataFrame, accept: float = ACCEPT, least_seeds: int = LEAST_SEEDS
     rows = scanned(docs).checkpoint()
     places = instances(rows).checkpoint()
     edges = places.select(F.explode(F.array("p1", "p2")).alias("pattern"), "instance", "seed").where("pattern is not null")
-    graph = edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")).checkpoint()
+    graph = written(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
     patterns = few(confident_patterns(graph, accept, least_seeds, limit), limit)
     # Places of instances under confident patterns, by row.
     more = places.where("not base")
