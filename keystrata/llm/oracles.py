@@ -33,28 +33,31 @@ def rule_cases(column: str) -> str:
     return "CASE " + " ".join(f"WHEN (host = '{r[1]}' OR ends_with(host, '.{r[1]}')) AND starts_with(path, '{r[2]}') THEN '{shown(r)}'" for r in rules) + " END"
 
 
-def own(bad: str, n: str, parent: str) -> str:
-    return f"({n} = 0 OR abs({bad} / greatest({n}, 1) - {parent}) > {url_templates.SIGNIFICANT} * sqrt(greatest({parent} * (1 - {parent}), 0.01::DOUBLE) / greatest({n}, 1)))"
-
-
 def smoothed(bad: str, n: str, prior: str) -> str:
     return f"(({bad} + {url_templates.SMOOTHING}::DOUBLE * {prior}) / ({n} + {url_templates.SMOOTHING}::DOUBLE))"
 
 
-URLS = f"""
-WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
-p AS (SELECT page_id, translate(raw, '{url_templates.UPPER}', '{url_templates.LOWER}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
-j AS (SELECT *, {rule_cases("rule")} AS rule, {rule_cases("verdict")} AS by_rule, regexp_replace(split_part(path, '/', 2), '[0-9]+', '*', 'g') AS s1, regexp_replace(split_part(path, '/', 3), '[0-9]+', '*', 'g') AS s2 FROM p),
-l AS (SELECT host, s1, s2, count(by_rule) AS n, count(*) FILTER (by_rule = 'block') AS bad FROM j GROUP BY 1, 2, 3),
-g AS (SELECT sum(bad)::DOUBLE / greatest(sum(n), 1) AS overall FROM l),
-hs AS (SELECT host, {smoothed("sum(bad)", "sum(n)", "(SELECT coalesce(overall, 0) FROM g)")} AS host_rate FROM l GROUP BY 1),
-b AS (SELECT *, CASE WHEN {own("bad1", "n1", "host_rate")} THEN s1 ELSE '*' END AS t1 FROM (SELECT host, s1, sum(n) AS n1, sum(bad) AS bad1 FROM l GROUP BY 1, 2) JOIN hs USING (host)),
-m AS (SELECT host, t1, {smoothed("sum(bad1)", "sum(n1)", "any_value(host_rate)")} AS rate1 FROM b GROUP BY 1, 2),
-t AS (SELECT l.*, t1, rate1, CASE WHEN {own("bad", "n", "rate1")} THEN s2 ELSE '*' END AS t2 FROM l JOIN b USING (host, s1) JOIN m USING (host, t1)),
-r AS (SELECT host, t1, t2 FROM t GROUP BY 1, 2, 3 HAVING sum(n) >= {url_templates.LEAST_LABELLED} AND {smoothed("sum(bad)", "sum(n)", "any_value(rate1)")} >= {url_templates.REJECT}),
-x AS (SELECT DISTINCT host, s1, s2 FROM t JOIN r USING (host, t1, t2))
-SELECT page_id, j.host, path, rule, coalesce(by_rule, CASE WHEN x.host IS NULL THEN 'allow' ELSE 'block' END) AS verdict FROM j LEFT JOIN x ON x.host = j.host AND x.s1 = j.s1 AND x.s2 = j.s2"""
+def urls_sql(depth: int = 12) -> str:
+    """The tree level by level, down to paths of ``depth`` segments."""
+    least, far = url_templates.LEAST_LABELLED, f"{url_templates.SIGNIFICANT}::DOUBLE * sqrt(greatest(rate * (1 - rate), 0.01::DOUBLE) / greatest(bn, 1))"
+    parts = [
+        "u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)",
+        "h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u)",
+        f"p AS (SELECT page_id, translate(raw, '{url_templates.UPPER}', '{url_templates.LOWER}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h)",
+        f"j AS (SELECT *, {rule_cases('rule')} AS rule, {rule_cases('verdict')} AS by_rule, string_split(regexp_replace(path, '[0-9]+', '*', 'g'), '/')[2:] AS segs FROM p)",
+        "l AS (SELECT host, segs, count(by_rule) AS n, count(*) FILTER (by_rule = 'block') AS bad FROM j GROUP BY 1, 2)",
+        "g AS (SELECT sum(bad)::DOUBLE / greatest(sum(n), 1) AS overall FROM l)",
+        f"hs AS (SELECT host, sum(n) AS tn, {smoothed('sum(bad)', 'sum(n)', '(SELECT coalesce(overall, 0) FROM g)')} AS rate FROM l GROUP BY 1)",
+        f"t0 AS (SELECT l.*, host AS node, rate, CASE WHEN tn >= {least} THEN rate END AS purity FROM l JOIN hs USING (host))",
+    ]
+    for k in range(1, depth + 1):
+        parts += [
+            f"b{k} AS (SELECT *, CASE WHEN bn = 0 THEN '*' WHEN bbad / greatest(bn, 1) - rate > {far} THEN '+' WHEN rate - bbad / greatest(bn, 1) > {far} THEN '-' ELSE '*' END AS side FROM (SELECT node, segs[{k}] AS seg, sum(n) AS bn, sum(bad) AS bbad, any_value(rate) AS rate, any_value(purity) AS purity FROM t{k - 1} WHERE len(segs) >= {k} GROUP BY 1, 2))",
+            f"m{k} AS (SELECT node, side, sum(bn) AS tn, {smoothed('sum(bbad)', 'sum(bn)', 'any_value(rate)')} AS rate, any_value(purity) AS above FROM b{k} GROUP BY 1, 2)",
+            f"t{k} AS (SELECT t.host, t.segs, t.n, t.bad, CASE WHEN len(segs) >= {k} THEN t.node || '/' || b.side ELSE t.node END AS node, CASE WHEN len(segs) >= {k} THEN m.rate ELSE t.rate END AS rate, CASE WHEN len(segs) < {k} THEN t.purity WHEN m.tn >= {least} THEN m.rate ELSE m.above END AS purity FROM t{k - 1} t LEFT JOIN b{k} b ON b.node = t.node AND b.seg = t.segs[{k}] AND len(segs) >= {k} LEFT JOIN m{k} m ON m.node = b.node AND m.side = b.side)",
+        ]
+    select = f"SELECT page_id, j.host, path, rule, coalesce(by_rule, CASE WHEN purity >= {url_templates.REJECT}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict FROM j JOIN t{depth} t ON t.host = j.host AND t.segs = j.segs"
+    return "WITH " + ",\n".join(parts) + "\n" + select
 
 
 def mixing_sql() -> str:
@@ -69,11 +72,14 @@ def mixing_sql() -> str:
         up = f"{by} ORDER BY fill, {name}"
         weight = "CASE " + " ".join(f"WHEN {name} = '{n}' THEN {w}" for n, w in mixing.WEIGHTS[name].items()) + " ELSE 1 END"
         above = f"JOIN (SELECT {parents}, budget AS above FROM b{k - 1}) USING ({parents})" if k else ""
-        root = "" if k else f", CAST(floor((sum(sum(tokens)) OVER () * {mixing.MAX_EPOCHS})::DOUBLE / {mixing.MAX_EPOCHS} * {mixing.SHARE}::DOUBLE) AS BIGINT) AS above"
+        root = "" if k else f", CAST(floor((sum(sum(tokens)) OVER () * {mixing.MAX_EPOCHS} // {mixing.MAX_EPOCHS})::DOUBLE * {mixing.SHARE}::DOUBLE) AS BIGINT) AS above"
         parts += [
             f"n{k} AS (SELECT *, capacity::DOUBLE / weight AS fill FROM (SELECT {own_levels}, CAST(sum(tokens) * {mixing.MAX_EPOCHS} AS BIGINT) AS capacity, {weight} AS weight{root} FROM leaf GROUP BY {own_levels}) {above})",
-            f"r{k} AS (SELECT *, row_number() OVER ({up}) AS ord, (above - coalesce(sum(capacity) OVER ({up} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE / sum(weight) OVER ({up} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM n{k})",
-            f"b{k} AS (SELECT *, CASE WHEN lvl >= fill THEN capacity ELSE least(CAST(floor(part * weight) AS BIGINT), capacity) END AS budget FROM (SELECT *, min_by(lvl, ord) FILTER (WHERE lvl < fill) OVER ({by}) AS part FROM r{k}))",
+            f"r{k} AS (SELECT *, row_number() OVER ({up}) AS ord, above - coalesce(sum(capacity) OVER ({up} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(weight) OVER ({up} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM n{k})",
+            f"o{k} AS (SELECT *, min(ord) FILTER (WHERE rest * weight < capacity * weights) OVER ({by}) AS opened, min_by(rest, ord) FILTER (WHERE rest * weight < capacity * weights) OVER ({by}) AS r0, min_by(weights, ord) FILTER (WHERE rest * weight < capacity * weights) OVER ({by}) AS w0 FROM r{k})",
+            f"s{k} AS (SELECT *, CASE WHEN ord >= opened THEN r0 * weight // w0 ELSE capacity END AS part, CASE WHEN ord >= opened THEN r0 * weight % w0 END AS more FROM o{k})",
+            f"q{k} AS (SELECT *, r0 - sum(part) FILTER (WHERE ord >= opened) OVER ({by}) AS left_over, row_number() OVER ({by} ORDER BY more DESC NULLS LAST, {name}) AS rank FROM s{k})",
+            f"b{k} AS (SELECT *, CAST(part + CASE WHEN ord >= opened AND rank <= left_over THEN 1 ELSE 0 END AS BIGINT) AS budget FROM q{k})",
         ]
     levels = ", ".join(mixing.LEVELS)
     parts += [
@@ -84,4 +90,4 @@ def mixing_sql() -> str:
     return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, {levels}, n_tokens, CAST(epochs AS BIGINT) AS epochs, prefix_tokens, CAST(epochs * n_tokens + prefix_tokens AS BIGINT) AS taken_tokens FROM t"
 
 
-ORACLES = {"op2_minhash_dedup": MINHASH, "op3_substring_dedup": SUBSTRING, "op6_mixing": mixing_sql(), "op8_url_templates": URLS}
+ORACLES = {"op2_minhash_dedup": MINHASH, "op3_substring_dedup": SUBSTRING, "op6_mixing": mixing_sql(), "op8_url_templates": urls_sql()}
