@@ -3,9 +3,10 @@
 ``mux`` stores a payload of 8-bit samples losslessly: access units become PES
 packets with presentation times, cut into 188-byte packets behind a program
 association and a program map table; every ``gop`` units start with a
-random-access point.  ``demux`` is an independent reader: it parses the tables,
-checks continuity counters, reassembles the PES packets of each stream and
-lists timestamps with their random-access points.  ``parse_streams`` applies
+random-access point.  ``demux`` is an independent reader: it parses tables of
+any number of packets, checks continuity counters (a packet may be repeated
+once, and an announced jump is none), reassembles the PES packets of each stream
+and lists timestamps with their random-access points.  ``parse_streams`` applies
 the reader to a binary column; ``text_features`` round-trips whole texts.
 All run on Arrow batches, row by row, without a shuffle.
 
@@ -21,12 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from keystrata.llm.textkernel import released, small_batches
+
 #: Fixed values of ISO/IEC 13818-1.
 SYNC, PACKET, PAT_PID, NULL_PID = 0x47, 188, 0x0000, 0x1FFF
 PMT_PID, DATA_PID, PRIVATE_STREAM, PRIVATE_TYPE = 0x0100, 0x0101, 0xBD, 0x06
 
 UNIT_BYTES, GOP, TICKS = 8192, 4, 3600
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, timestamps array<long>, access_points array<long>"
 PARSED = "ok boolean, n_packets long, programs array<struct<number:int,pmt_pid:int,streams:array<struct<type:int,pid:int>>>>, continuity_errors long, table_errors long, units array<struct<pid:int,pts:long,n_bytes:long,random_access:boolean>>"
 
 
@@ -123,33 +126,29 @@ def demux(data: bytes) -> dict:
     access = (control & 2 > 0) & (grid[:, 4] > 0) & (grid[:, 5] & 0x40 > 0)
     if (begin > PACKET).any():
         return out
+    jump = (control & 2 > 0) & (grid[:, 4] > 0) & (grid[:, 5] & 0x80 > 0)
     pmts: dict[int, int] = {}
-    for i in np.flatnonzero((pid == PAT_PID) & starts).tolist():
-        body = read_section(grid[i], begin[i], 0)
-        if body is None:
-            out["table_errors"] += 1
-            continue
+    for body in out_of(out, read_sections(grid, begin, starts, np.flatnonzero(pid == PAT_PID), 0)):
         for k in range(0, len(body), 4):
             number, at = int.from_bytes(body[k : k + 2], "big"), int.from_bytes(body[k + 2 : k + 4], "big") & 0x1FFF
             if number:
                 pmts[at] = number
     for at, number in pmts.items():
-        for i in np.flatnonzero((pid == at) & starts).tolist()[-1:]:
-            body = read_section(grid[i], begin[i], 2)
-            if body is None or len(body) < 4:
-                out["table_errors"] += 1
-                continue
-            k, streams = 4 + (int.from_bytes(body[2:4], "big") & 0xFFF), []
+        streams: list[dict] = []
+        for body in out_of(out, read_sections(grid, begin, starts, np.flatnonzero(pid == at), 2)):
+            k = 4 + (int.from_bytes(body[2:4], "big") & 0xFFF) if len(body) >= 4 else 4
             while k + 5 <= len(body):
                 streams.append({"type": body[k], "pid": int.from_bytes(body[k + 1 : k + 3], "big") & 0x1FFF})
                 k += 5 + (int.from_bytes(body[k + 3 : k + 5], "big") & 0xFFF)
-            out["programs"].append({"number": number, "pmt_pid": at, "streams": streams})
+        if streams:
+            out["programs"].append({"number": number, "pmt_pid": at, "streams": [s for i, s in enumerate(streams) if s not in streams[:i]]})
     for stream in (s for p in out["programs"] for s in p["streams"]):
         rows = np.flatnonzero((pid == stream["pid"]) & (control & 1 > 0))
         if not len(rows):
             continue
+        rows = rows[~repeated(grid, begin, counter, rows)]
         step = np.diff(counter[rows].astype(np.int16)) & 15
-        out["continuity_errors"] += int((step != 1).sum()) + int(broken[rows].sum())
+        out["continuity_errors"] += int(((step != 1) & ~jump[rows[1:]]).sum()) + int(broken[rows].sum())
         cuts = np.flatnonzero(starts[rows]).tolist()
         for a, b in zip(cuts, [*cuts[1:], len(rows)]):
             own = rows[a:b]
@@ -175,19 +174,69 @@ def reassemble(grid: np.ndarray, begin: np.ndarray, own: np.ndarray) -> bytes:
     return b"".join(p.tobytes() for p in parts)
 
 
-def read_section(packet: np.ndarray, begin: int, table_id: int) -> bytes | None:
-    """The body of a checked one-packet section."""
-    raw = packet[begin:].tobytes()
-    raw = raw[1 + raw[0] :] if raw else raw
-    size = 3 + (int.from_bytes(raw[1:3], "big") & 0xFFF) if len(raw) > 3 else 0
-    if size < 12 or size > len(raw) or raw[0] != table_id:
+def repeated(grid: np.ndarray, begin: np.ndarray, counter: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Which packets of a stream repeat the one before, as a sender may do once."""
+    out = np.zeros(len(rows), np.bool_)
+    for k in (np.flatnonzero(counter[rows[1:]] == counter[rows[:-1]]) + 1).tolist():
+        a, b = rows[k - 1], rows[k]
+        out[k] = not out[k - 1] and begin[a] == begin[b] and (grid[a, begin[a] :] == grid[b, begin[b] :]).all()
+    return out
+
+
+def out_of(out: dict, read: tuple[list[bytes], int]) -> list[bytes]:
+    """The bodies of sections; faulty ones are counted."""
+    out["table_errors"] += read[1]
+    return read[0]
+
+
+def read_sections(grid: np.ndarray, begin: np.ndarray, starts: np.ndarray, rows: np.ndarray, table_id: int) -> tuple[list[bytes], int]:
+    """(bodies of the distinct checked sections of a table's packets, number of faulty ones).
+
+    A section may go over several packets and several may share one; a packet
+    in which one starts says where.
+    """
+    bodies, faults, held = [], 0, b""
+
+    def take(data: bytes, whole: bool) -> bytes:
+        """Read the complete sections; ``whole``: nothing follows, so a rest is a fault."""
+        nonlocal faults
+        while data and data[0] != 0xFF:
+            size = 3 + (int.from_bytes(data[1:3], "big") & 0xFFF) if len(data) >= 3 else 3
+            if len(data) < size:
+                faults += whole
+                return b"" if whole else data
+            body = checked(data[:size], table_id)
+            if body is None:
+                faults += 1
+            elif body not in bodies:
+                bodies.append(body)
+            data = data[size:]
+        return b""
+
+    for i in rows.tolist():
+        raw = grid[i, begin[i] :].tobytes()
+        if not raw:
+            continue
+        if starts[i]:
+            point = 1 + raw[0]
+            take(held + raw[1:point] if held else b"", True)
+            held = take(raw[point:], False)
+        elif held:
+            held = take(held + raw, False)
+    take(held, True)
+    return bodies, faults
+
+
+def checked(raw: bytes, table_id: int) -> bytes | None:
+    """The body of a section of the table whose checksum is right."""
+    if len(raw) < 12 or raw[0] != table_id:
         return None
-    known = CHECKED.get(raw[:size])
+    known = CHECKED.get(raw)
     if known is None:
-        known = crc32_mpeg(raw[: size - 4]) == int.from_bytes(raw[size - 4 : size], "big")
+        known = crc32_mpeg(raw[:-4]) == int.from_bytes(raw[-4:], "big")
         if len(CHECKED) < 1000:
-            CHECKED[raw[:size]] = known
-    return raw[8 : size - 4] if known else None
+            CHECKED[raw] = known
+    return raw[8:-4] if known else None
 
 
 #: Sections that were checked before, a thousand at most.
@@ -228,12 +277,12 @@ def text_features(docs: DataFrame) -> DataFrame:
                 if not parsed["ok"]:
                     raise ValueError("a stream that was just written can't be read back")
                 payload = b"".join(parsed["payloads"])
-                rows.append((len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(parsed, payload)))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, kinds)]
+                rows.append((len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(parsed, payload), [u["pts"] for u in parsed["units"]], [u["pts"] for u in parsed["units"] if u["random_access"]]))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(kinds), kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns], [c.split()[0] for c in SCHEMA.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(released(run), SCHEMA)
 
 
 def mux_column(df: DataFrame, payload: str, to: str = "media") -> DataFrame:
@@ -246,7 +295,7 @@ def mux_column(df: DataFrame, payload: str, to: str = "media") -> DataFrame:
             raw = batch.column(batch.schema.get_field_index(payload)).to_pylist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if r is None else mux(r) for r in raw], pa.binary())], [*batch.schema.names, to])
 
-    return kept.mapInArrow(run, f"{fields}, `{to}` binary")
+    return small_batches(kept).mapInArrow(released(run), f"{fields}, `{to}` binary")
 
 
 def parse_streams(df: DataFrame, media: str, key: str) -> DataFrame:
@@ -263,4 +312,4 @@ def parse_streams(df: DataFrame, media: str, key: str) -> DataFrame:
             schema = schema or [batch.schema.names[0], *cols]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(cols.values(), kinds))], schema)
 
-    return df.select(key, media).mapInArrow(run, f"`{key}` {kind}, {PARSED}")
+    return small_batches(df.select(key, media)).mapInArrow(released(run), f"`{key}` {kind}, {PARSED}")
