@@ -5,7 +5,9 @@ of random splits is grown on a bounded sample of labelled rows (``fit_rows``,
 the smallest hashes of their doc_id) that pass the base rule; anomalous
 documents have short paths.  It splits on the statistics whose distance from the
 good rows' median tells the labels apart (area under the curve of ``useful`` or
-more): the others would only add anomalies of their own.
+more): the others would only add anomalies of their own.  So labels choose the
+statistics and the threshold; the trees themselves are grown without labels.
+Texts stay on the executors: the driver gets nine numbers a sampled doc_id.
 The threshold is calibrated on the labelled sample: the lowest score at which
 at most ``good_loss`` of the rows labelled good would be rejected.  The fitted
 model has a fixed size (``trees`` x 2 x ``leaf_sample`` nodes) and travels in
@@ -22,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.textkernel import mix64, ranges, slices, small_batches, text_buffers, window_hashes, word_hashes, word_spans
+from keystrata.llm.textkernel import mix64, ranges, released, slices, small_batches, text_buffers, window_hashes, word_hashes, word_spans
 
 #: Symbols and limits of the base rule.
 SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
 
+SLICE_BYTES = 2 << 20
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 EXTRA = ("n_upper", "n_shouts", "n_lines", "n_digits")
 
@@ -165,14 +168,23 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 4096, good_loss: flo
         labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toArrow()
+    names = [*(c.split()[0] for c in COLUMNS.split(", ")), *EXTRA]
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", SLICE_BYTES):
+                s = rule_statistics(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(s[n]) for n in names)], ["doc_id", "quality", *names])
+
+    # Executors measure the texts; the driver gets one row of numbers a label.
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("quality").cast("long").alias("quality"))
+    measured = small_batches(labelled).mapInArrow(released(run), f"doc_id long, quality long, {', '.join(n + ' long' for n in names)}")
+    rows = measured.groupBy("doc_id").agg(F.min(F.struct("quality", *names)).alias("s")).select("doc_id", "s.*").orderBy("doc_id").toArrow()
     if rows.num_rows == 0:
         return None
-    s = rule_statistics(rows.column("text").combine_chunks())
+    s = {n: rows.column(n).to_numpy() for n in names}
     x, good = features(s), rows.column("quality").to_numpy() > 0
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    order = order[~base_failed(s)[order]]
-    x, good = x[order], good[order]
+    x, good = x[~base_failed(s)], good[~base_failed(s)]
     if good.sum() < 32 or good.all():
         return None
     away = np.abs(x - np.median(x[good], axis=0))
@@ -206,11 +218,11 @@ def judge(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 s, failed, kept = verdicts(part.column(1), model)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *(pa.array(s[n]) for n in names), pa.array(failed), pa.array(kept)], ["doc_id", *names, "base_failed", "kept"])
 
-    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id long, {COLUMNS}, base_failed boolean, kept boolean")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(released(run), f"doc_id long, {COLUMNS}, base_failed boolean, kept boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
@@ -219,7 +231,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 yield part.filter(pa.array(verdicts(part.column(part.schema.get_field_index("text")), model)[2]))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(released(run), docs.schema)
