@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.textkernel import get_places, mix64, put_places, ranges, slices, small_batches, text_buffers, window_hashes, word_hashes, word_spans
+from keystrata.llm.textkernel import get_places, mix64, put_places, ranges, released, slices, small_batches, text_buffers, window_hashes, word_hashes, word_spans
 
 WIDTH = 13
 #: Prefix lengths tried in turn; a prefix that is heavy at the last is taken whole.
@@ -86,7 +86,7 @@ def census(docs: DataFrame, width: int, share: int) -> tuple[int, dict[int, np.n
                     n.append(count)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(level)), pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(n).astype(np.int64))], ["level", "prefix", "n"])
 
-    counts = docs.mapInArrow(run, "level int, prefix long, n long").groupBy("level", "prefix").agg(F.sum("n").alias("n"))
+    counts = docs.mapInArrow(released(run), "level int, prefix long, n long").groupBy("level", "prefix").agg(F.sum("n").alias("n"))
     rows = counts.orderBy(F.desc("n"), "level").limit(2 * share * len(PREFIXES) + 1).collect()
     total = sum(r.n for r in rows if r.level == 0)
     heavy = {length: np.sort(np.array([r.prefix for r in rows if r.level == length and r.n >= total / (2 * share)], np.int64).view(np.uint64)) for length in PREFIXES}
@@ -125,7 +125,7 @@ def blobs(key: np.ndarray, doc: np.ndarray, pos: np.ndarray):
 
 def repeats(docs: DataFrame, width: int, share: int, dests: int | None = None) -> tuple[DataFrame, int]:
     """(dest, docs, pos) blobs of every repeated window, and how many dests."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     total, heavy = census(docs, width, share)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = max(4 * parts, math.ceil(total / 500_000))
@@ -147,7 +147,7 @@ def repeats(docs: DataFrame, width: int, share: int, dests: int | None = None) -
                 known = np.flatnonzero(doc > least)
                 if len(known):
                     _, more, spots, _, _ = blobs(np.zeros(len(known), np.int32), doc[known], pos[known])
-                    key, docs_, places, paths = np.append(key, np.int32(int(doc[0]) % groups)), docs_ + more, places + spots, [*paths, None]
+                    key, docs_, places, paths = np.append(key, dest_of(doc[:1], groups)), docs_ + more, places + spots, [*paths, None]
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), pa.array(paths, pa.binary()), pa.array(docs_, pa.binary()), pa.array(places, pa.binary())], ["grp", "paths", "docs", "pos"])
 
     def subtree(table: pa.Table) -> pa.Table:
@@ -161,10 +161,10 @@ def repeats(docs: DataFrame, width: int, share: int, dests: int | None = None) -
         doc, pos = (np.concatenate(x) for x in zip(*known))
         order = np.lexsort((pos, doc))
         doc, pos = doc[order], pos[order]
-        key, docs_, places, _, _ = blobs((doc % dests).astype(np.int32), doc, pos)
+        key, docs_, places, _, _ = blobs(dest_of(doc, dests), doc, pos)
         return pa.table([pa.array(key, pa.int32()), pa.array(docs_, pa.binary()), pa.array(places, pa.binary())], names=["dest", "docs", "pos"])
 
-    leaves = small_batches(docs).mapInArrow(scatter, "grp int, paths binary, docs binary, pos binary")
+    leaves = docs.mapInArrow(released(scatter), "grp int, paths binary, docs binary, pos binary")
     return leaves.groupBy("grp").applyInArrow(subtree, "dest int, docs binary, pos binary"), dests
 
 
@@ -179,6 +179,11 @@ def node_minimum(path: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
+def dest_of(doc: np.ndarray, dests: int) -> np.ndarray:
+    """The part of the documents that a document is in, however ids are spaced."""
+    return (mix64(doc.astype(np.int64).view(np.uint64) ^ np.uint64(0x3C6EF372FE94F82B)) % np.uint64(dests)).astype(np.int32)
+
+
 def cut_repeats(docs: DataFrame, emit, schema: str, width: int, share: int) -> DataFrame:
     """``emit(doc_id, words, removed mask or None)`` rows for every document."""
     found, dests = repeats(docs, width, share)
@@ -189,7 +194,9 @@ def cut_repeats(docs: DataFrame, emit, schema: str, width: int, share: int) -> D
         """Rows of a batch for each dest as one compressed blob: half the bytes of a shuffle of texts."""
         options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
-            to = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False) % dests
+            ids, known = batch.column(0), np.asarray(batch.column(0).is_valid())
+            # Rows without a doc_id lose nothing, so any place will do.
+            to = np.where(known, dest_of(ids.fill_null(0).to_numpy(zero_copy_only=False), dests), np.arange(len(ids), dtype=np.int32) % dests)
             order = np.argsort(to, kind="stable")
             keys, first = np.unique(to[order], return_index=True)
             out = []
@@ -221,7 +228,7 @@ def cut_repeats(docs: DataFrame, emit, schema: str, width: int, share: int) -> D
             rows.append(emit(i, words, gone))
         return pa.Table.from_pylist([dict(zip(names, r)) for r in rows], schema=ARROW[schema])
 
-    packed = small_batches(texts).mapInArrow(pack, "dest int, rows binary")
+    packed = texts.mapInArrow(released(pack), "dest int, rows binary")
     return packed.groupBy("dest").cogroup(found.groupBy("dest")).applyInArrow(cut, schema)
 
 
