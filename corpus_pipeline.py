@@ -6,13 +6,11 @@ stage defines as kept pass whole: nulls, empty texts and repeated rows follow
 the operators' docstrings.
 """
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from keystrata.llm import bpe_codec, line_templates, minhash_dedup, mixing, quality_forest
 from keystrata.llm.queries import table, vocabulary
-from keystrata.plans.checkpoints import own_folder
+from keystrata.plans.checkpoints import forget, own_folder, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -43,9 +41,9 @@ def source_mixing(spark, docs, sf_dir):
 
 
 def encoding(spark, docs, sf_dir):
-    """doc_id, lang, source, number of tokens and token ids of each document."""
-    coded = bpe_codec.encode_column(docs.select("doc_id", "lang", "source", "text"), vocabulary("word_bpe_49k.json"), decoded=False)
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """doc_id, lang, source, token ids, their number, and the SHA-256 of the text they decode to."""
+    coded = bpe_codec.encode_column(docs.select("doc_id", "lang", "source", "text"), vocabulary("word_bpe_49k.json"))
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
@@ -61,11 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """All stages over the documents of ``sf_dir``, each written and read again."""
+    """All stages over the documents of ``sf_dir``, each written, read again, and deleted after the next."""
     own_folder(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+    docs, last = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir))
+        if last is not None:
+            forget(last)
+        last = docs
     return docs

@@ -1,5 +1,7 @@
 """The corpus pipeline against its stages and the brute force of their rules."""
 
+import hashlib
+
 import corpus_pipeline
 from tests.llm.test_operators import components
 from tokenizers import Tokenizer
@@ -23,6 +25,8 @@ def test_stages(spark, tmp_path):
     last = rows["bpe encoding"]
     assert set(last) == set(rows["source mixing"])
     for i, r in rows["source mixing"].items():
-        assert last[i].ids == lib.encode(r.text or "", add_special_tokens=False).ids and last[i].n_tokens == len(last[i].ids)
+        ids = lib.encode(r.text or "", add_special_tokens=False).ids
+        assert last[i].ids == ids and last[i].n_tokens == len(ids)
+        assert last[i].decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     out = corpus_pipeline.run(spark, FOLDER)
     assert {r.doc_id: r.ids for r in out.collect()} == {i: r.ids for i, r in last.items()}
