@@ -4,7 +4,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystrata.operators.oplog import TOMBSTONE
+from keystrata.operators.reads import newest
+from keystrata.plans.checkpoints import dealt_by_range, running_sum
 
+#: Bytes of an entry beside its key and value.
+ENTRY_BYTES = 8
 LEVELS, L0_TRIGGER, LEVEL_BASE, GROWTH = 7, 4, 10 << 20, 10
 
 
@@ -13,13 +17,30 @@ def retain(log: DataFrame, floor: int | None = None, bottom: bool = False) -> Da
 
     Versions above the floor (the smallest snapshot) stay; of those at or below
     it the newest of each key stays, unless it is a tombstone and the output is
-    the bottom level.  Without a snapshot there is no version above the floor.
+    the bottom level.  Without a snapshot all versions are ranked.  Versions
+    above the floor pass through; the others keep one row a key and task before
+    the shuffle, however many a key has.
     """
-    above = F.lit(False) if floor is None else F.col("seq") > F.lit(floor)
-    marked = log.withColumn("above", above)
-    rank = F.row_number().over(Window.partitionBy("user_key", "above").orderBy(F.col("seq").desc(), F.col("type").desc()))
-    keep = F.col("above") | ((F.col("rn") == 1) & (~F.lit(bottom) | (F.col("type") != TOMBSTONE)))
-    return marked.withColumn("rn", rank).where(keep).drop("above", "rn")
+    below = newest(log, floor)
+    below = below.where(F.col("type") != TOMBSTONE) if bottom else below
+    return below if floor is None else log.where(F.col("seq") > F.lit(floor)).unionByName(below)
+
+
+def split_outputs(log: DataFrame, max_bytes: int, name: str = "file") -> DataFrame:
+    """``log`` with the number of the output file of each entry (int, from 0).
+
+    Keys go to files in order: a key belongs to the file that its bytes, counted
+    from the first key, start in, so a key's versions share a file and a file
+    exceeds ``max_bytes`` by its last key at most.  Only sums of keys are put in
+    order, in ranges; of the ranges only the totals meet.
+    """
+    size = (F.octet_length(F.col("user_key").cast("string")) + F.coalesce(F.octet_length(F.col("value").cast("string")), F.lit(0)) + ENTRY_BYTES).cast("long")
+    sums = log.groupBy("user_key").agg(F.sum(size).alias("bytes"))
+    placed = running_sum(sums, "user_key", "bytes", "before")
+    files = placed.select("user_key", F.floor(F.col("before") / F.lit(max_bytes)).cast("int").alias(name))
+    # Numbers without a gap: a file that one large key fills leaves none behind.
+    dense = files.select(name).distinct().select(name, (F.row_number().over(Window.orderBy(name)) - 1).alias("dense"))
+    return log.join(files.join(dense, name).select("user_key", F.col("dense").cast("int").alias(name)), "user_key")
 
 
 def file_metadata(entries: DataFrame, *by: str) -> DataFrame:
@@ -102,15 +123,21 @@ def install(files: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFram
 def locate(files: DataFrame, keys: DataFrame, level: int) -> DataFrame:
     """user_key and the file of a sorted, disjoint level that can hold it.
 
-    Keys and files are merged by one sort: a key belongs to the last file that
-    starts at or before it, unless it lies in the gap after that file.
+    Keys and files are put in order together, in ranges: a key belongs to the
+    last file that starts at or before it, in its range or, failing that, in the
+    ranges before it, unless it lies in the gap after that file.
     """
-    starts = files.where(F.col("level") == level).select(F.col("smallest_key").alias("at"), F.lit(0).alias("kind"), "file_number", "largest_key", F.lit(None).cast("string").alias("user_key"))
-    wanted = keys.select(F.col("user_key").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("file_number"), F.lit(None).cast("string").alias("largest_key"), F.col("user_key").cast("string").alias("user_key"))
-    order = Window.partitionBy(F.lit(level)).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("kind") == 0, F.struct("file_number", "largest_key")), ignorenulls=True).over(order)
-    found = starts.unionByName(wanted).withColumn("f", last).where("kind = 1")
-    return found.select("user_key", F.when(F.col("user_key") <= F.col("f.largest_key"), F.col("f.file_number")).alias("file_number"))
+    starts = files.where(F.col("level") == level).select(F.col("smallest_key").alias("at"), F.lit(0).alias("kind"), F.struct("file_number", "largest_key").alias("f"), F.lit(None).cast("string").alias("user_key"))
+    wanted = keys.select(F.col("user_key").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("struct<file_number:bigint,largest_key:string>").alias("f"), F.col("user_key").cast("string").alias("user_key"))
+    dealt = dealt_by_range(starts.unionByName(wanted), "at")
+    order = Window.partitionBy("part").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    # The last file of the ranges before: one row a range.
+    ends = dealt.where("kind = 0").groupBy("part").agg(F.max_by("f", "at").alias("last"))
+    parts = dealt.select("part").distinct().join(ends, "part", "left")
+    earlier = F.last("last", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    found = dealt.withColumn("own", F.last("f", ignorenulls=True).over(order)).where("kind = 1").join(F.broadcast(parts.select("part", earlier.alias("earlier"))), "part")
+    file = F.coalesce("own", "earlier")
+    return found.select("user_key", F.when(F.col("user_key") <= file["largest_key"], file["file_number"]).alias("file_number"))
 
 
 def orphans(listing: DataFrame, live: DataFrame, log_floor: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystrata.operators.oplog import TOMBSTONE, VALUE
+from keystrata.plans.checkpoints import running_sum
 
 
 def by_age():
@@ -73,18 +74,20 @@ def seek(log: DataFrame, target) -> DataFrame:
     return latest(log.where(F.col("user_key") >= F.lit(target))).orderBy("user_key").limit(1)
 
 
-def range_counts(log: DataFrame, ranges: DataFrame, width: int, key_number: Column) -> DataFrame:
+def range_counts(log: DataFrame, ranges: DataFrame, key_number: Column) -> DataFrame:
     """op_id and number of live keys in each [first, first + length).
 
-    Keys and ranges meet in buckets of ``width`` key numbers, so it is an equi
-    join with a filter, never a product.
+    Both ends of a range are put in order with the keys; the keys before the end
+    less those before the start are the range's.  The cost doesn't depend on the
+    length of ranges.
     """
-    keys = latest(log).select(key_number.cast("long").alias("num")).withColumn("bucket", F.floor(F.col("num") / width))
-    spread = F.sequence(F.floor(F.col("first") / width), F.floor((F.col("first") + F.greatest("length", F.lit(1)) - 1) / width))
-    wanted = ranges.withColumn("bucket", F.explode(spread))
-    hits = wanted.join(keys, "bucket").where((F.col("num") >= F.col("first")) & (F.col("num") < F.col("first") + F.col("length")))
-    counted = hits.groupBy("op_id").agg(F.count("*").alias("n"))
-    return ranges.select("op_id").join(counted, "op_id", "left").select("op_id", F.coalesce("n", F.lit(0)).alias("n"))
+    keys = latest(log).select(key_number.cast("long").alias("num"), F.lit(1).alias("live"), F.lit(None).cast("long").alias("op_id"), F.lit(0).alias("sign"))
+    ends = ranges.select("op_id", F.explode(F.array(
+        F.struct(F.col("first").cast("long").alias("num"), F.lit(-1).alias("sign")), F.struct((F.col("first") + F.greatest("length", F.lit(0))).cast("long").alias("num"), F.lit(1).alias("sign")),
+    )).alias("e")).select("e.num", F.lit(0).alias("live"), F.col("op_id").cast("long").alias("op_id"), "e.sign")
+    both = keys.unionByName(ends).withColumn("place", F.struct("num", "live", "op_id", "sign"))
+    counted = running_sum(both, "place", "live", "before").where("sign <> 0")
+    return counted.groupBy("op_id").agg(F.sum(F.col("before") * F.col("sign")).alias("n"))
 
 
 def history(log: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Only for sessions on one machine that set none.
@@ -53,3 +53,16 @@ def dealt_by_range(df: DataFrame, column: str) -> DataFrame:
     own_folder(df.sparkSession)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartitionByRange(parts, column).withColumn("part", F.spark_partition_id()).checkpoint()
+
+
+def running_sum(df: DataFrame, order: str, column: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``column`` over all rows before (by ``order``, unique).
+
+    Rows are summed in ranges; of the ranges only the totals meet, a row each.
+    """
+    dealt = dealt_by_range(df, order)
+    totals = dealt.groupBy("part").agg(F.sum(column).alias("total"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.join(F.broadcast(starts), "part").withColumn(name, F.col("start") + F.coalesce(F.sum(column).over(inside), F.lit(0))).drop("part", "start")

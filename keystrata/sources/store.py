@@ -1,21 +1,31 @@
 """A store of versioned keys in a folder: manifest, write generations, tables.
 
-Layout: ``log/<n>`` (unflushed generations), ``sst/<n>`` (tables, sorted by key
-and newest first), ``vlog/<n>`` (separated values), all Parquet, and MANIFEST.json,
-which alone says what is live.  Files are written before the manifest names
-them and deleted after it no longer does, so a lost driver leaves orphans, never
-holes.  The manifest is replaced by an atomic rename of the folder's file system
-(HDFS or local); there is one writer, readers use the manifest they opened.
+Layout: ``log/<n>`` (unflushed generations), ``sst/<n>/file=<k>`` (tables, sorted
+by key and newest first, a key's versions in one table), ``vlog/<n>`` (separated
+values), all Parquet, and MANIFEST.json, which alone says what is live.  Files
+are written before the manifest names them; what it no longer names stays for
+``grace`` seconds, for readers that opened an earlier manifest.  Only the
+writer's maintenance sweeps, and never what is younger than ``grace``; opening a
+store deletes nothing.  The manifest is replaced by an atomic rename of the
+folder's file system (HDFS or local) and holds the number of the last applied
+batch of a stream; there is one writer, readers use the manifest they opened.
 """
 
 import json
+import math
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.operators import compaction, oplog, reads, vsep
+from keystrata.plans.workload import log_bytes
+from keystrata.sources.logfile import read_logs
 
-EMPTY = {"next_file": 1, "next_seq": 1, "log_floor": 0, "logs": [], "tables": [], "vlogs": [], "rewritten": 0}
+EMPTY = {"next_file": 1, "next_seq": 1, "log_floor": 0, "logs": [], "tables": [], "vlogs": [], "rewritten": 0, "epoch": -1, "retired": {}, "counts": {}}
+#: Bytes of a table at which the next key starts another; seconds that retired files stay.
+MAX_TABLE, GRACE = 64 << 20, 24 * 3600
+COUNTERS = ("user_bytes", "log_bytes", "vlog_bytes", "table_bytes", "flushes", "compactions", "collections")
 SCHEMA = "user_key {0}, seq long, type int, value {0}, pointer struct<vlog_number:long,offset:long,size:long>"
 
 
@@ -26,9 +36,9 @@ class Corruption(RuntimeError):
 class Store:
     """Open, write, read, snapshot, flush, compact and collect garbage."""
 
-    def __init__(self, spark: SparkSession, path: str, kind: str = "string", threshold: int | None = None, l0_trigger: int = compaction.L0_TRIGGER, level_base: int = compaction.LEVEL_BASE, gc_size: int = vsep.GC_SIZE):
+    def __init__(self, spark: SparkSession, path: str, kind: str = "string", threshold: int | None = None, l0_trigger: int = compaction.L0_TRIGGER, level_base: int = compaction.LEVEL_BASE, gc_size: int = vsep.GC_SIZE, max_table: int = MAX_TABLE, grace: float = GRACE):
         self.spark, self.path, self.kind, self.threshold = spark, path.rstrip("/"), kind, threshold
-        self.l0_trigger, self.level_base, self.gc_size = l0_trigger, level_base, gc_size
+        self.l0_trigger, self.level_base, self.gc_size, self.max_table, self.grace = l0_trigger, level_base, gc_size, max_table, grace
         self.snapshots: list[int] = []
         jvm = spark.sparkContext._jvm
         self.hadoop = jvm.org.apache.hadoop.fs
@@ -36,7 +46,6 @@ class Store:
         self.manifest = self.load()
         if self.manifest["vlogs"] and threshold is None:
             raise Corruption("the store has separated values; open it with a threshold")
-        self.remove_orphans()
 
     # Manifest
 
@@ -59,11 +68,16 @@ class Store:
                 raise Corruption(f"the manifest's {name} are not distinct known numbers")
         if any(not 0 <= t["level"] < compaction.LEVELS for t in m["tables"]):
             raise Corruption("the manifest has a level out of range")
-        return m
+        return json.loads(json.dumps(EMPTY)) | m
 
     def publish(self, **changes) -> None:
-        """Write the manifest with changes beside the old one, then rename."""
+        """Write the manifest with changes beside the old one, then rename.
+
+        Names that fall out are retired, with the time.
+        """
         after = {**self.manifest, **changes}
+        after["retired"] = {k: t for k, t in after["retired"].items() if k not in self.live(after)}
+        after["retired"] |= {name: time.time() for name in self.live(self.manifest) - self.live(after)}
         temporary, place = self.hadoop.Path(self.at("MANIFEST.tmp")), self.hadoop.Path(self.at("MANIFEST.json"))
         stream = self.fs.create(temporary, True)
         stream.write(bytearray(json.dumps(after, sort_keys=True).encode()))
@@ -85,27 +99,39 @@ class Store:
         self.manifest["next_file"] = n + 1
         return n
 
-    def remove_orphans(self) -> list[str]:
-        """Delete folders that the manifest doesn't name; returns their names."""
-        live = {"sst": {t["file_number"] for t in self.manifest["tables"]}, "vlog": set(self.manifest["vlogs"]), "log": set(self.manifest["logs"])}
-        gone = []
-        for kind, numbers in live.items():
+    @staticmethod
+    def live(manifest: dict) -> set[str]:
+        """Folders that a manifest names, as kind/number."""
+        return {f"sst/{t['folder']}" for t in manifest["tables"]} | {f"vlog/{n}" for n in manifest["vlogs"]} | {f"log/{n}" for n in manifest["logs"]}
+
+    def remove_orphans(self, grace: float | None = None) -> list[str]:
+        """Delete folders that the manifest doesn't name, ``grace`` seconds after
+        they were retired or, if they never were live, last written; returns their names."""
+        grace, live, gone = self.grace if grace is None else grace, self.live(self.manifest), []
+        for kind in ("sst", "vlog", "log"):
             folder = self.hadoop.Path(self.at(kind))
             for status in self.fs.listStatus(folder) if self.fs.exists(folder) else []:
-                name = status.getPath().getName()
-                if not name.isdigit() or int(name) not in numbers:
+                name = f"{kind}/{status.getPath().getName()}"
+                since = self.manifest["retired"].get(name, status.getModificationTime() / 1000)
+                if name not in live and time.time() - since >= grace:
                     self.fs.delete(status.getPath(), True)
-                    gone.append(f"{kind}/{name}")
+                    gone.append(name)
         return gone
 
     # Writes
 
-    def write(self, ops: DataFrame) -> None:
-        """Apply (user_key, type, value, arrival) rows in order of arrival."""
+    def write(self, ops: DataFrame, epoch: int | None = None) -> None:
+        """Apply (user_key, type, value, arrival) rows in order of arrival.
+
+        ``epoch`` numbers a stream's batch: it is published with the batch, and
+        a batch that was published is passed over.
+        """
+        if epoch is not None and epoch <= self.manifest["epoch"]:
+            return
         base = self.manifest["next_seq"] - 1
         log = oplog.number(ops.select("user_key", "type", "value", "arrival"), base)
         number = self.take_number()
-        changes: dict = {}
+        changes: dict = {} if epoch is None else {"epoch": epoch}
         if self.threshold is not None:
             vlog = self.take_number()
             log.write.mode("overwrite").parquet(self.at("log", f"{number}.raw"))
@@ -117,8 +143,32 @@ class Store:
             log = log.withColumn("pointer", F.lit(None).cast("struct<vlog_number:long,offset:long,size:long>"))
         log.select("user_key", "seq", "type", "value", "pointer").write.mode("overwrite").parquet(self.at("log", number))
         self.fs.delete(self.hadoop.Path(self.at("log", f"{number}.raw")), True)
-        top = self.spark.read.parquet(self.at("log", number)).agg(F.max("seq")).first()[0]
-        self.publish(**changes, logs=[*self.manifest["logs"], number], next_seq=max(self.manifest["next_seq"], (top or 0) + 1))
+        self.publish_log(number, **changes)
+
+    def publish_log(self, number: int, **changes) -> int:
+        """Publish a written generation; returns its number of versions."""
+        key, value = F.octet_length("user_key"), F.coalesce(F.octet_length(F.col("value").cast("string")), F.lit(0))
+        apart = F.col("pointer").isNotNull()
+        sums = self.spark.read.parquet(self.at("log", number)).agg(
+            F.max("seq").alias("top"), F.count("*").alias("n"), F.sum(key + value + F.when(apart, F.col("pointer.size")).otherwise(0)).alias("user_bytes"),
+            F.sum(log_bytes(17 + key + value + F.when(apart, vsep.POINTER_BYTES).otherwise(0))).alias("log_bytes"),
+            F.sum(F.when(apart, vsep.ENTRY_HEADER + key + F.col("pointer.size")).otherwise(0)).alias("vlog_bytes"),
+        ).first()
+        counts = self.counted(**{k: sums[k] or 0 for k in ("user_bytes", "log_bytes", "vlog_bytes")})
+        self.publish(**changes, counts=counts, logs=[*self.manifest["logs"], number], next_seq=max(self.manifest["next_seq"], (sums.top or 0) + 1))
+        return sums.n
+
+    def counted(self, **more: int) -> dict:
+        """The counters with something added."""
+        return {**self.manifest["counts"], **{k: self.manifest["counts"].get(k, 0) + v for k, v in more.items()}}
+
+    def replay(self, paths: list[str] | str) -> int:
+        """Apply what record logs hold beyond the store's last version; returns how many versions."""
+        found = read_logs(self.spark, paths).where(F.col("seq") > self.latest_seq())
+        number = self.take_number()
+        rows = found.select(F.col("user_key").cast(self.kind), "seq", "type", F.col("value").cast(self.kind), F.lit(None).cast("struct<vlog_number:long,offset:long,size:long>").alias("pointer"))
+        rows.dropDuplicates(["user_key", "seq", "type"]).write.mode("overwrite").parquet(self.at("log", number))
+        return self.publish_log(number)
 
     def put(self, df: DataFrame, arrival: str = "arrival") -> None:
         self.write(df.select("user_key", F.lit(oplog.VALUE).alias("type"), "value", F.col(arrival).alias("arrival")))
@@ -133,11 +183,14 @@ class Store:
         def wanted(t: dict) -> bool:
             return (begin is None or t["largest_key"] is None or t["largest_key"] >= begin) and (end is None or t["smallest_key"] is None or t["smallest_key"] < end) and (snapshot is None or t["smallest_seq"] <= snapshot)
 
-        paths = [self.at("log", n) for n in self.manifest["logs"]] + [self.at("sst", t["file_number"]) for t in self.manifest["tables"] if self.kind != "string" or wanted(t)]
+        paths = [self.at("log", n) for n in self.manifest["logs"]] + [self.table_path(t) for t in self.manifest["tables"] if self.kind != "string" or wanted(t)]
         if not paths:
             return self.spark.createDataFrame([], SCHEMA.format(self.kind))
-        found = self.spark.read.schema(SCHEMA.format(self.kind)).parquet(*paths)
-        return found.dropDuplicates(["user_key", "seq", "type"]) if len(self.manifest["logs"]) > 0 and self.manifest["tables"] else found
+        # A sequence number is in one generation or table only, so nothing is to be merged.
+        return self.spark.read.schema(SCHEMA.format(self.kind)).parquet(*paths)
+
+    def table_path(self, t: dict) -> str:
+        return self.at("sst", t["folder"], f"file={t['part']}")
 
     def values(self) -> DataFrame:
         """Entries of all live value logs."""
@@ -157,7 +210,16 @@ class Store:
         return self.resolved(reads.latest(reads.in_range(self.log(begin, end, snapshot), begin, end), snapshot)).orderBy("user_key")
 
     def lookup(self, keys: DataFrame, snapshot: int | None = None) -> DataFrame:
-        return reads.lookup(self.log(snapshot=snapshot).drop("pointer"), keys, snapshot)
+        """user_key, status (found, deleted, missing, or a corruption) and value of each wanted key.
+
+        Winners are ranked first, then only their values are fetched.
+        """
+        wanted = keys.select("user_key").distinct()
+        top = reads.newest(self.log(snapshot=snapshot).join(wanted, "user_key", "left_semi"), snapshot)
+        held = self.resolved(top.where(F.col("type") == oplog.VALUE)).select("user_key", F.when(F.col("status") == "ok", "found").otherwise(F.col("status")).alias("status"), "value")
+        dead = top.where(F.col("type") == oplog.TOMBSTONE).select("user_key", F.lit("deleted").alias("status"), F.lit(None).cast(self.kind).alias("value"))
+        found = keys.select("user_key").join(held.unionByName(dead), "user_key", "left")
+        return found.select("user_key", F.coalesce("status", F.lit("missing")).alias("status"), "value")
 
     # Snapshots
 
@@ -178,25 +240,25 @@ class Store:
 
     # Maintenance, in order of urgency: flush, compaction, garbage collection
 
-    def write_tables(self, log: DataFrame, level: int, files: int = 1) -> list[dict]:
-        """Sorted tables and their metadata; a key's versions share a table."""
-        number = self.take_number()
-        ordered = log.repartitionByRange(files, "user_key").sortWithinPartitions("user_key", F.desc("seq"))
-        ordered.write.mode("overwrite").parquet(self.at("sst", number))
-        own = self.spark.read.parquet(self.at("sst", number)).withColumn("file_number", F.lit(number).cast("long"))
-        rows = compaction.file_metadata(own).withColumn("level", F.lit(level)).collect()
+    def write_tables(self, log: DataFrame, level: int) -> list[dict]:
+        """Sorted tables of about ``max_table`` bytes and their metadata, written in parallel."""
+        folder = self.take_number()
+        cut = compaction.split_outputs(log, self.max_table, "file")
+        parts = max(1, min(math.ceil(cut.select("file").distinct().count()), 10_000))
+        cut.repartition(parts, "file").sortWithinPartitions("file", "user_key", F.desc("seq")).write.mode("overwrite").partitionBy("file").parquet(self.at("sst", folder))
+        own = self.spark.read.schema(SCHEMA.format(self.kind) + ", file int").parquet(self.at("sst", folder))
+        rows = compaction.file_metadata(own, "file").withColumn("level", F.lit(level)).orderBy("file").collect()
         shown = lambda v: v if isinstance(v, str) else None
-        return [{**r.asDict(), "smallest_key": shown(r.smallest_key), "largest_key": shown(r.largest_key)} for r in rows]
+        return [{**{k: v for k, v in r.asDict().items() if k != "file"}, "file_number": self.take_number(), "folder": folder, "part": r.file, "smallest_key": shown(r.smallest_key), "largest_key": shown(r.largest_key)} for r in rows]
 
     def flush(self) -> None:
         """All unflushed generations become one level-0 table, every version kept."""
         logs = self.manifest["logs"]
         if not logs:
             return
-        log = self.spark.read.schema(SCHEMA.format(self.kind)).parquet(*(self.at("log", n) for n in logs)).dropDuplicates(["user_key", "seq", "type"])
+        log = self.spark.read.schema(SCHEMA.format(self.kind)).parquet(*(self.at("log", n) for n in logs))
         tables = self.write_tables(log, 0)
-        self.publish(tables=[*self.manifest["tables"], *tables], logs=[], log_floor=max(logs) + 1)
-        self.remove_orphans()
+        self.publish(tables=[*self.manifest["tables"], *tables], logs=[], log_floor=max(logs) + 1, counts=self.counted(flushes=1, table_bytes=sum(t["file_size"] for t in tables)))
 
     def compact(self) -> bool:
         """One compaction, if a level is full; whether there was one."""
@@ -211,11 +273,10 @@ class Store:
         picked = self.overlapping(inputs, by_level[target])
         both = inputs + picked
         numbers = {t["file_number"] for t in both}
-        log = self.spark.read.schema(SCHEMA.format(self.kind)).parquet(*(self.at("sst", n) for n in sorted(numbers)))
+        log = self.spark.read.schema(SCHEMA.format(self.kind)).parquet(*(self.table_path(t) for t in both))
         kept = compaction.retain(log, self.floor(), bottom=target == compaction.LEVELS - 1)
         outputs = self.write_tables(kept, target)
-        self.publish(tables=[t for t in tables if t["file_number"] not in numbers] + outputs)
-        self.remove_orphans()
+        self.publish(tables=[t for t in tables if t["file_number"] not in numbers] + outputs, counts=self.counted(compactions=1, table_bytes=sum(t["file_size"] for t in outputs)))
         return True
 
     def overlapping(self, inputs: list[dict], level: list[dict]) -> list[dict]:
@@ -242,8 +303,7 @@ class Store:
         log_number = self.take_number()
         pointers.write.mode("overwrite").parquet(self.at("log", log_number))
         top, size = stored.agg(F.max("seq"), F.sum(F.col("size") + F.octet_length("user_key") + vsep.ENTRY_HEADER)).first()
-        self.publish(logs=[*self.manifest["logs"], log_number], vlogs=[number], next_seq=max(self.manifest["next_seq"], (top or 0) + 1), rewritten=int(size or 0))
-        self.remove_orphans()
+        self.publish(logs=[*self.manifest["logs"], log_number], vlogs=[number], next_seq=max(self.manifest["next_seq"], (top or 0) + 1), rewritten=int(size or 0), counts=self.counted(collections=1, vlog_bytes=int(size or 0)))
         return True
 
     def maintain(self) -> None:
@@ -252,8 +312,14 @@ class Store:
         while self.compact():
             pass
         self.collect_garbage()
+        self.remove_orphans()
 
     def counters(self) -> dict:
-        """Files by level, all files, value logs and the last sequence number."""
+        """Files by level, all files, value logs, the last sequence number, bytes by kind and maintenance runs."""
         levels = [sum(t["level"] == i for t in self.manifest["tables"]) for i in range(compaction.LEVELS)]
-        return {"level_files": levels, "total_files": sum(levels), "vlogs": len(self.manifest["vlogs"]), "logs": len(self.manifest["logs"]), "latest_seq": self.latest_seq()}
+        return {"level_files": levels, "total_files": sum(levels), "vlogs": len(self.manifest["vlogs"]), "logs": len(self.manifest["logs"]), "latest_seq": self.latest_seq()} | {k: self.manifest["counts"].get(k, 0) for k in COUNTERS}
+
+    def write_amplification(self) -> float | None:
+        """Bytes written, value logs included, for each byte of the user."""
+        c = self.counters()
+        return (c["log_bytes"] + c["table_bytes"] + c["vlog_bytes"]) / c["user_bytes"] if c["user_bytes"] else None

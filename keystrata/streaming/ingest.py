@@ -19,14 +19,12 @@ from keystrata.sources.store import Store
 def append_to(store: Store):
     """A foreachBatch function that applies (user_key, type, value, arrival) rows.
 
-    A batch that was already applied before a restart is passed over.
+    A batch that was already applied before a restart is passed over; its number
+    is published together with its rows, so a batch that failed is applied again.
     """
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        if epoch <= store.manifest.get("epoch", -1):
-            return
-        store.manifest["epoch"] = epoch
-        store.write(batch)
+        store.write(batch, epoch)
 
     return apply
 
