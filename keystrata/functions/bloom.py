@@ -14,11 +14,21 @@ from pyspark.sql import functions as F
 SEED, BITS_PER_KEY = 0xBC9F1D34, 10
 
 
+def hashes(keys) -> np.ndarray:
+    """Seeded checksums of keys."""
+    return np.fromiter((zlib.crc32(k, SEED) for k in keys), np.uint64)
+
+
+def spread(h: np.ndarray, bits: np.ndarray | int, probes: int) -> np.ndarray:
+    """Bit positions (a row a key): the checksum stepped by its rotation, in 32 bits."""
+    step = (h >> np.uint64(17) | h << np.uint64(15)) & np.uint64(0xFFFFFFFF)
+    at = (h[:, None] + step[:, None] * np.arange(probes, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)
+    return (at % np.asarray(bits, np.uint64).reshape(-1, 1)).astype(np.int64)
+
+
 def positions(key: bytes, bits: int, probes: int) -> list[int]:
-    """Bit positions of a key: a seeded checksum stepped by its rotation."""
-    h = zlib.crc32(key, SEED)
-    step = (h >> 17 | h << 15) & 0xFFFFFFFF
-    return [((h + i * step) & 0xFFFFFFFF) % bits for i in range(probes)]
+    """Bit positions of a key."""
+    return spread(hashes([key]), bits, probes)[0].tolist()
 
 
 def build(keys: list[bytes], bits_per_key: int = BITS_PER_KEY) -> bytes:
@@ -28,7 +38,7 @@ def build(keys: list[bytes], bits_per_key: int = BITS_PER_KEY) -> bytes:
     size = (max(64, len(keys) * bits_per_key) + 7) // 8
     probes = min(30, max(1, int(bits_per_key * 0.69)))
     array = np.zeros(size * 8, np.uint8)
-    array[[p for k in keys for p in positions(k, size * 8, probes)]] = 1
+    array[spread(hashes(keys), size * 8, probes).ravel()] = 1
     return np.packbits(array, bitorder="little").tobytes() + bytes([probes])
 
 
@@ -55,6 +65,12 @@ def probe(data: Column, key: Column) -> Column:
 
     @F.pandas_udf("boolean")
     def run(data: pd.Series, key: pd.Series) -> pd.Series:
-        return pd.Series([may_match(d, k or b"") for d, k in zip(data, key)])
+        out = np.ones(len(data), np.bool_)
+        # Rows of one filter are probed together.
+        for d, rows in data.groupby(data, sort=False).indices.items():
+            if len(d) >= 2:
+                bits = np.unpackbits(np.frombuffer(d, np.uint8, len(d) - 1), bitorder="little")
+                out[rows] = bits[spread(hashes(k or b"" for k in key.iloc[rows]), len(bits), d[-1])].all(axis=1)
+        return pd.Series(out)
 
     return run(data, key.cast("binary"))

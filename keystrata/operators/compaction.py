@@ -148,3 +148,44 @@ def orphans(listing: DataFrame, live: DataFrame, log_floor: int) -> DataFrame:
     unnamed = known.where(F.col("kind").isin("sst", "vlog")).join(live, "name", "left_anti")
     temporary = known.where(F.col("name") == "MANIFEST.tmp")
     return unnamed.unionByName(known.where(stale_log)).unionByName(temporary).select("name")
+
+
+def order_violations(entries: DataFrame, position: str, *by: str) -> DataFrame:
+    """How many entries of each file, in order of ``position``, don't come after the one before.
+
+    Internal-key order: key ascending, then newest first.
+    """
+    by = by or ("file_number",)
+    place = Window.partitionBy(*by).orderBy(position)
+    last_key, last_seq = F.lag("user_key").over(place), F.lag("seq").over(place)
+    bad = (F.col("user_key") < last_key) | ((F.col("user_key") == last_key) & (F.col("seq") >= last_seq))
+    return entries.withColumn("bad", F.coalesce(bad, F.lit(False))).groupBy(*by).agg(F.sum(F.col("bad").cast("long")).alias("violations"))
+
+
+def verify(entries: DataFrame, files: DataFrame, position: str) -> DataFrame:
+    """file_number and status of every file that is named or has entries.
+
+    ok, missing (no entries), unknown (not named), order, or bounds (keys,
+    sequence numbers or number of entries differ from the metadata).
+    """
+    own = entries.groupBy("file_number").agg(F.min("user_key").alias("k0"), F.max("user_key").alias("k1"), F.min("seq").alias("s0"), F.max("seq").alias("s1"), F.count("*").alias("n"))
+    both = files.withColumn("named", F.lit(True)).join(own.join(order_violations(entries, position), "file_number"), "file_number", "full")
+    same = (F.col("k0") == F.col("smallest_key")) & (F.col("k1") == F.col("largest_key")) & (F.col("s0") == F.col("smallest_seq")) & (F.col("s1") == F.col("largest_seq")) & (F.col("n") == F.col("entry_count"))
+    status = F.when(F.col("named").isNull(), "unknown").when(F.col("n").isNull(), "missing").when(F.col("violations") > 0, "order").when(~same, "bounds").otherwise("ok")
+    return both.select("file_number", status.alias("status"))
+
+
+def shared_prefixes(entries: DataFrame, restart: int = 16) -> DataFrame:
+    """Entries, key bytes and bytes saved by prefix coding of each file.
+
+    In internal-key order each key leaves out what it shares with the one
+    before, but for every ``restart``-th entry, which is whole.
+    """
+    place = Window.partitionBy("file_number").orderBy("user_key", F.desc("seq"), F.desc("type"))
+    placed = entries.select("file_number", "user_key", F.lag("user_key").over(place).alias("before"), ((F.row_number().over(place) - 1) % restart).alias("at"))
+    most = F.least(F.length("user_key"), F.length("before"))
+    shared = F.size(F.filter(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda k: (F.left("user_key", k) == F.left("before", k)) & (most >= k)))
+    return placed.groupBy("file_number").agg(
+        F.count("*").alias("entries"), F.sum(F.octet_length("user_key")).cast("long").alias("key_bytes"),
+        F.sum(F.when((F.col("at") > 0) & F.col("before").isNotNull(), shared).otherwise(0)).cast("long").alias("saved"),
+    )

@@ -11,7 +11,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keystrata.plans.checkpoints import dealt_by_range
+from keystrata.plans.checkpoints import dealt_by_range, running_sum
 
 VALUE, TOMBSTONE = 1, 0
 COLUMNS = ("user_key", "seq", "type", "value")
@@ -72,20 +72,51 @@ def memtable_size(log: DataFrame) -> DataFrame:
 def generations(log: DataFrame, write_buffer_size: int) -> DataFrame:
     """``log`` with the size and write generation of each entry.
 
-    A generation is closed by the first entry that finds it full, so bounds
-    depend on all entries before: sizes are folded in seq order over blocks of
-    4096 entries whose totals fit on the driver, as the writer itself would.
+    A generation is closed by the first entry that finds it full, so where one
+    starts depends on where the one before did.  Bytes before each entry are a
+    distributed sum; only the search for the starts goes in order, range by
+    range, over packed numbers (16 bytes an entry, one range in memory), and
+    jumps from start to start.  Entries get their generation by a distributed
+    count of the starts up to them.
     """
     size = (F.octet_length("user_key") + F.coalesce(F.octet_length("value"), F.lit(0)) + 36).cast("long")
-    sized = log.withColumn("size", size)
-    spark = log.sparkSession
-    starts, held = [], write_buffer_size
-    for row in sized.select("seq", "size").orderBy("seq").toLocalIterator():
-        if held >= write_buffer_size:
-            starts.append(row.seq)
-            held = 0
-        held += row.size
-    bounds = spark.createDataFrame([(i, s) for i, s in enumerate(starts)], "generation long, first_seq long")
-    ends = bounds.withColumn("end_seq", F.lead("first_seq").over(Window.orderBy("first_seq")))
-    hit = (F.col("seq") >= F.col("first_seq")) & (F.col("end_seq").isNull() | (F.col("seq") < F.col("end_seq")))
-    return sized.join(F.broadcast(ends), hit).drop("first_seq", "end_seq")
+    placed = running_sum(log.withColumn("size", size), "seq", "size", "before").checkpoint()
+
+    def pack(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            seq, before = (batch.column(k).to_numpy() for k in (0, 1))
+            order = np.argsort(seq)
+            yield pa.RecordBatch.from_arrays([pa.array([int(seq.min())]), pa.array([seq[order].tobytes()], pa.binary()), pa.array([before[order].tobytes()], pa.binary())], ["first", "seqs", "befores"])
+
+    packed = dealt_by_range(placed.select("seq", "before"), "seq").sortWithinPartitions("seq").select("seq", "before").mapInArrow(pack, "first long, seqs binary, befores binary").checkpoint()
+    starts = generation_starts(((r.seqs, r.befores) for r in packed.orderBy("first").toLocalIterator()), write_buffer_size)
+    marks = log.sparkSession.createDataFrame([(s, 1) for s in starts], "seq long, start long")
+    flagged = placed.drop("before").join(marks, "seq", "left").withColumn("start", F.coalesce("start", F.lit(0)))
+    counted = running_sum(flagged, "seq", "start", "earlier")
+    return counted.withColumn("generation", F.col("earlier") + F.col("start") - 1).drop("earlier", "start")
+
+
+def generation_starts(blocks, write_buffer_size: int) -> list[int]:
+    """Sequence numbers of the first entries, from (seqs, bytes before) blocks in order."""
+    import numpy as np
+
+    starts, due = [], 0
+    for seqs, befores in blocks:
+        seq, before, at = np.frombuffer(seqs, np.int64), np.frombuffer(befores, np.int64), 0
+        while (at := int(np.searchsorted(before, due))) < len(seq):
+            starts.append(int(seq[at]))
+            due = int(before[at]) + write_buffer_size
+    return starts
+
+
+def sync_counts(log: DataFrame, threshold: int) -> DataFrame:
+    """Syncs of a log under each policy: after every write, after each
+    ``threshold`` unsynced bytes (the write that reaches them is synced too), never."""
+    closed = generations(log, threshold).groupBy("generation").agg(F.sum("size").alias("bytes"))
+    sums = closed.agg(F.sum((F.col("bytes") >= threshold).cast("long")).alias("periodic"))
+    both = log.agg(F.count("*").alias("always")).crossJoin(sums)
+    kinds = [("always", F.col("always")), ("periodic", F.coalesce("periodic", F.lit(0))), ("never", F.lit(0))]
+    return both.select(F.explode(F.array(*(F.struct(F.lit(k).alias("policy"), n.cast("long").alias("syncs")) for k, n in kinds))).alias("s")).select("s.*")

@@ -49,9 +49,9 @@ def documents_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oplog.oplog(d, codec.make_key(F.col("doc_id")), F.col("doc_id") + 1, F.col("text"), F.lit(False))
 
 
-def hundreds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wanted keys: the user of every order of a customer below 200, with repeats."""
-    o = table(spark, sf_dir, "orders").where("o_custkey < 200")
+def wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wanted keys: the user of every order, with repeats."""
+    o = table(spark, sf_dir, "orders")
     return o.select(codec.make_key(F.col("o_custkey")).alias("user_key"))
 
 
@@ -63,7 +63,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP = "WITH op AS (SELECT printf('user%019d', user_id) AS user_key, event_id + 1 AS seq, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS type, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value FROM events)"
 RANK = "row_number() OVER (PARTITION BY user_key ORDER BY seq DESC)"
-WANTED = "wanted AS (SELECT printf('user%019d', o_custkey) AS user_key FROM orders WHERE o_custkey < 200)"
+WANTED = "wanted AS (SELECT printf('user%019d', o_custkey) AS user_key FROM orders)"
 LIVE = f"live AS (SELECT user_key, seq, value FROM (SELECT *, {RANK} AS rn FROM op) WHERE rn = 1 AND type = 1)"
 FILES = f"f AS (SELECT (seq - 1) // {FILE_ROWS} AS file_number, min(seq) AS smallest_seq, max(seq) AS largest_seq, count(*) AS entry_count, CAST(sum(strlen(user_key) + 8) AS BIGINT) AS file_size, min(user_key) AS smallest_key, max(user_key) AS largest_key, CAST(((seq - 1) // {FILE_ROWS}) % 3 AS INTEGER) AS level FROM op GROUP BY 1, 8)"
 
@@ -89,25 +89,25 @@ def get_point(spark, sf_dir):
 @query(f"{OP}, {WANTED}, top AS (SELECT * FROM (SELECT *, {RANK} AS rn FROM op) WHERE rn = 1) SELECT w.user_key, CASE WHEN t.type IS NULL THEN 'missing' WHEN t.type = 0 THEN 'deleted' ELSE 'found' END AS status, t.value FROM wanted w LEFT JOIN top t USING (user_key)")
 def lookup_tristate(spark, sf_dir):
     """Found, deleted or missing for each wanted key."""
-    return reads.lookup(events_log(spark, sf_dir), hundreds(spark, sf_dir))
+    return reads.lookup(events_log(spark, sf_dir), wanted(spark, sf_dir))
 
 
 @query(f"{OP}, {LIVE}, {WANTED} SELECT count(*) AS n FROM wanted WHERE user_key IN (SELECT user_key FROM live)")
 def exists_count(spark, sf_dir):
     """Arguments that exist, repeats counted."""
-    return reads.exists_count(events_log(spark, sf_dir), hundreds(spark, sf_dir))
+    return reads.exists_count(events_log(spark, sf_dir), wanted(spark, sf_dir))
 
 
 @query(f"{OP}, {LIVE}, {WANTED} SELECT count(DISTINCT user_key) AS n FROM wanted WHERE user_key IN (SELECT user_key FROM live)")
 def del_count(spark, sf_dir):
     """Keys that a delete of all arguments removes."""
-    return reads.delete_count(events_log(spark, sf_dir), hundreds(spark, sf_dir))
+    return reads.delete_count(events_log(spark, sf_dir), wanted(spark, sf_dir))
 
 
 @query(f"{OP}, {WANTED} SELECT DISTINCT user_key FROM wanted WHERE user_key IN (SELECT user_key FROM op)")
 def contains(spark, sf_dir):
     """Ordered-set membership."""
-    return hundreds(spark, sf_dir).distinct().join(events_log(spark, sf_dir), "user_key", "left_semi")
+    return wanted(spark, sf_dir).distinct().join(events_log(spark, sf_dir), "user_key", "left_semi")
 
 
 @query(f"{OP}, {LIVE} SELECT * FROM live WHERE user_key >= '{BEGIN}' AND user_key < '{END}'")
@@ -148,12 +148,12 @@ def seek_successor(spark, sf_dir):
     return reads.seek(events_log(spark, sf_dir), "user0000000000000000042x").select("user_key", "seq", "value")
 
 
-@query(f"{OP}, {LIVE}, r AS (SELECT o_orderkey AS op_id, o_custkey % 150 AS first, 1 + o_orderkey % 20 AS length FROM orders WHERE o_orderkey < 500) SELECT op_id, count(user_key) AS n FROM r LEFT JOIN live ON CAST(substr(user_key, 5) AS BIGINT) >= first AND CAST(substr(user_key, 5) AS BIGINT) < first + length GROUP BY op_id")
+@query(f"{OP}, {LIVE}, r AS (SELECT o_orderkey AS op_id, o_custkey % 150 AS first, 1 + o_orderkey % 20 AS length FROM orders) SELECT op_id, count(user_key) AS n FROM r LEFT JOIN live ON CAST(substr(user_key, 5) AS BIGINT) >= first AND CAST(substr(user_key, 5) AS BIGINT) < first + length GROUP BY op_id")
 def scan_counts(spark, sf_dir):
     """Live keys in many ranges at once."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 500")
+    o = table(spark, sf_dir, "orders")
     ranges = o.select(F.col("o_orderkey").alias("op_id"), (F.col("o_custkey") % 150).alias("first"), (1 + F.col("o_orderkey") % 20).alias("length"))
-    return reads.range_counts(events_log(spark, sf_dir), ranges, 32, F.substring("user_key", 5, 19))
+    return reads.range_counts(events_log(spark, sf_dir), ranges, F.substring("user_key", 5, 19))
 
 
 @query(f"{OP}, s AS (SELECT unnest({SNAPSHOTS}) AS snapshot) SELECT CAST(snapshot AS BIGINT) AS snapshot, user_key, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY snapshot, user_key ORDER BY seq DESC) AS rn FROM s JOIN op ON seq <= snapshot) WHERE rn = 1 AND type = 1")
@@ -383,18 +383,19 @@ def read_modify_write(spark, sf_dir):
     return u.join(live, "user_key", "left").select("user_key", F.round(F.coalesce("value", F.lit(0.0)) + F.col("n"), 6).alias("value"))
 
 
-@query(f"{DOCS}, s AS (SELECT CAST(sum(CASE WHEN strlen(value) >= 1024 THEN 12 + strlen(user_key) + strlen(value) ELSE 0 END) AS BIGINT) AS vlog_bytes, CAST(sum(9 + 17 + strlen(user_key) + CASE WHEN strlen(value) >= 1024 THEN 21 ELSE strlen(value) END) AS BIGINT) AS log_bytes, CAST(sum(strlen(user_key) + strlen(value)) AS BIGINT) AS user_bytes FROM d) SELECT *, round((vlog_bytes + log_bytes) / user_bytes, 9) AS write_amp FROM s")
+@query(f"{DOCS}, s AS (SELECT CAST(sum(CASE WHEN strlen(value) >= 1024 THEN 12 + strlen(user_key) + strlen(value) ELSE 0 END) AS BIGINT) AS vlog_bytes, CAST(sum(9 + 17 + strlen(user_key) + CASE WHEN strlen(value) >= 1024 THEN 21 ELSE strlen(value) END) AS BIGINT) AS log_bytes, CAST(sum(8 + strlen(user_key) + CASE WHEN strlen(value) >= 1024 THEN 21 ELSE strlen(value) END) AS BIGINT) AS table_bytes, CAST(sum(strlen(user_key) + strlen(value)) AS BIGINT) AS user_bytes FROM d) SELECT *, round((vlog_bytes + log_bytes + table_bytes) / user_bytes, 9) AS write_amp FROM s")
 def write_amp(spark, sf_dir):
-    """A2, A3: bytes by kind and write amplification, value logs included."""
+    """A2, A3: bytes by kind and write amplification, value logs and one flush included."""
     d = documents_log(spark, sf_dir)
     key, value = F.octet_length("user_key"), F.octet_length("value")
     big = vsep.is_separated(F.col("value"))
     sums = d.agg(
         F.sum(F.when(big, vsep.ENTRY_HEADER + key + value).otherwise(0)).cast("long").alias("vlog_bytes"),
         F.sum(workload.log_bytes(17 + key + F.when(big, vsep.POINTER_BYTES).otherwise(value))).cast("long").alias("log_bytes"),
+        F.sum(compaction.ENTRY_BYTES + key + F.when(big, vsep.POINTER_BYTES).otherwise(value)).cast("long").alias("table_bytes"),
         F.sum(key + value).cast("long").alias("user_bytes"),
     )
-    return sums.withColumn("write_amp", F.round(workload.write_amplification(F.col("log_bytes"), F.lit(0), F.col("vlog_bytes"), F.col("user_bytes")), 9))
+    return sums.withColumn("write_amp", F.round(workload.write_amplification(F.col("log_bytes"), F.col("table_bytes"), F.col("vlog_bytes"), F.col("user_bytes")), 9))
 
 
 @query(f"{OP} SELECT seq, type, seq * 256 + type AS tag FROM op")
@@ -450,10 +451,10 @@ def scalar_text(spark, sf_dir):
     return p.select("p_partkey", codec.parse_digits(F.col("p_type")).alias("word"), codec.parse_digits(F.col("p_size").cast("string")).alias("size"), codec.lower_ascii(F.col("p_name")).alias("lower"), codec.status_text(code, F.col("p_brand")).alias("status"))
 
 
-@query("SELECT o_orderkey, CASE WHEN ns >= 1000000 THEN printf('%.1fms', ns / 1e6) WHEN ns >= 1000 THEN printf('%.1fus', ns / 1e3) ELSE printf('%dns', ns) END AS shown FROM (SELECT o_orderkey, o_orderkey * o_orderkey AS ns FROM orders WHERE o_orderkey % 10 IN (1, 3))")
+@query("SELECT o_orderkey, CASE WHEN ns >= 1000000 THEN printf('%d.%dms', ((ns + 50000) // 100000) // 10, ((ns + 50000) // 100000) % 10) WHEN ns >= 1000 THEN printf('%d.%dus', ((ns + 50) // 100) // 10, ((ns + 50) // 100) % 10) ELSE printf('%dns', ns) END AS shown FROM (SELECT o_orderkey, o_orderkey * o_orderkey AS ns FROM orders)")
 def format_ns(spark, sf_dir):
-    """Durations."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 in (1, 3)")
+    """Durations, rounded half up."""
+    o = table(spark, sf_dir, "orders")
     return o.select("o_orderkey", codec.format_ns(F.col("o_orderkey") * F.col("o_orderkey")).alias("shown"))
 
 
@@ -492,39 +493,142 @@ def mix_rolls(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", *(workload.operation(roll, w.upper()).alias(w) for w in "ade"))
 
 
-@query("SELECT i AS item, printf('user%019d', i) AS user_key FROM range(1000) t(i)")
+@query("SELECT i AS item, printf('user%019d', i) AS user_key FROM (SELECT unnest(range(0, (SELECT count(*) FROM orders))) AS i)")
 def load_phase(spark, sf_dir):
-    """Keys of the load phase."""
-    return workload.load(spark, 1000)
+    """Keys of the load phase, as many as there are orders."""
+    return workload.load(spark, table(spark, sf_dir, "orders").count())
 
 
-@query("SELECT DISTINCT user_key, 1 AS version FROM (SELECT printf('user%019d', user_id) AS user_key FROM events)")
+@query(f"{OP} SELECT user_key, seq, type, value FROM (SELECT *, {RANK} AS rn FROM op) WHERE rn = 1")
 def streaming_shape(spark, sf_dir):
-    """The state of the streaming form has one row a key (batch run of the plan)."""
+    """The state of the streaming form: each key's newest version (batch run of the plan)."""
     from keystrata.streaming.ingest import latest_by_key
 
-    return latest_by_key(events_log(spark, sf_dir)).select("user_key", F.lit(1).alias("version"))
+    return latest_by_key(events_log(spark, sf_dir))
 
 
-# Without a SQL form: tested against independent models.
+SPLIT = f"k AS (SELECT user_key, sum(strlen(user_key) + 8) AS bytes FROM op GROUP BY 1), a AS (SELECT user_key, CAST(coalesce(sum(bytes) OVER (ORDER BY user_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // 20000 AS raw FROM k), s AS (SELECT user_key, dense_rank() OVER (ORDER BY raw) - 1 AS file FROM a), o AS (SELECT CAST(file AS INTEGER) AS file, min(op.user_key) AS smallest_key, max(op.user_key) AS largest_key, min(seq) AS smallest_seq, max(seq) AS largest_seq, count(*) AS entry_count FROM op JOIN s USING (user_key) GROUP BY 1)"
 
 
-@query()
-def crc32_values(spark, sf_dir):
-    """Checksums of texts."""
-    return table(spark, sf_dir, "documents").select("doc_id", codec.crc32(F.encode("text", "utf-8")).alias("crc"))
+def outputs(spark, sf_dir):
+    """Metadata of the events log cut into files of 20,000 bytes between keys."""
+    log = events_log(spark, sf_dir).withColumn("value", F.lit(None).cast("string"))
+    return compaction.file_metadata(compaction.split_outputs(log, 20_000), "file").drop("file_size")
 
 
-@query()
+@query(f"{OP}, {SPLIT} SELECT * FROM o")
+def split_outputs(spark, sf_dir):
+    """A compaction's output cut by size, never inside a key."""
+    return outputs(spark, sf_dir)
+
+
+@query(f"{OP}, {SPLIT}, {WANTED} SELECT w.user_key, CAST(o.file AS BIGINT) AS file_number FROM (SELECT DISTINCT user_key FROM wanted) w LEFT JOIN o ON w.user_key >= o.smallest_key AND w.user_key <= o.largest_key")
+def locate_keys(spark, sf_dir):
+    """C11: the file of a sorted level that can hold each key."""
+    level = outputs(spark, sf_dir).select(F.col("file").cast("long").alias("file_number"), F.lit(1).alias("level"), "smallest_key", "largest_key")
+    return compaction.locate(level, wanted(spark, sf_dir).distinct(), 1)
+
+
+def written_entries(spark, sf_dir):
+    """The events log in files, in key order in even ones, otherwise as they came."""
+    log = events_log(spark, sf_dir).withColumn("file_number", F.floor((F.col("seq") - 1) / FILE_ROWS))
+    place = Window.partitionBy("file_number").orderBy("user_key", F.desc("seq"))
+    return log.withColumn("position", F.when(F.col("file_number") % 2 == 0, F.row_number().over(place)).otherwise(F.col("seq")).cast("long"))
+
+
+@query(f"{OP}, w AS (SELECT *, (seq - 1) // {FILE_ROWS} AS file_number FROM op), p AS (SELECT *, CASE WHEN file_number % 2 = 0 THEN row_number() OVER (PARTITION BY file_number ORDER BY user_key, seq DESC) ELSE seq END AS position FROM w) SELECT file_number, CAST(count(*) FILTER (WHERE user_key < k OR (user_key = k AND seq >= s)) AS BIGINT) AS violations FROM (SELECT *, lag(user_key) OVER o AS k, lag(seq) OVER o AS s FROM p WINDOW o AS (PARTITION BY file_number ORDER BY position)) GROUP BY 1")
+def order_violations(spark, sf_dir):
+    """Entries out of internal-key order, by file."""
+    return compaction.order_violations(written_entries(spark, sf_dir), "position")
+
+
+@query(f"{OP}, w AS (SELECT *, (seq - 1) // {FILE_ROWS} AS file_number FROM op), n AS (SELECT file_number FROM w GROUP BY 1) SELECT file_number, CASE WHEN file_number % 2 = 1 THEN 'order' WHEN file_number % 4 = 2 THEN 'bounds' ELSE 'ok' END AS status FROM n WHERE file_number > 0 UNION ALL SELECT 0, 'unknown' UNION ALL SELECT 100000, 'missing'")
+def verify_tables(spark, sf_dir):
+    """F8: files against their metadata, some of which is wrong."""
+    entries = written_entries(spark, sf_dir)
+    files = compaction.file_metadata(entries.drop("position"))
+    wrong = files.where("file_number > 0").withColumn("entry_count", F.when(F.col("file_number") % 4 == 2, F.col("entry_count") + 1).otherwise(F.col("entry_count")))
+    extra = files.where("file_number = 0").withColumn("file_number", F.lit(100_000).cast("long"))
+    return compaction.verify(entries, wrong.unionByName(extra), "position")
+
+
+@query(f"{OP}, w AS (SELECT *, (seq - 1) // {FILE_ROWS} AS file_number FROM op), p AS (SELECT file_number, user_key, lag(user_key) OVER o AS k, (row_number() OVER o - 1) % 16 AS pos FROM w WINDOW o AS (PARTITION BY file_number ORDER BY user_key, seq DESC)) SELECT file_number, count(*) AS entries, CAST(sum(strlen(user_key)) AS BIGINT) AS key_bytes, CAST(sum(CASE WHEN pos > 0 AND k IS NOT NULL THEN len(list_filter(range(1, least(length(k), length(user_key)) + 1), lambda i: left(k, i) = left(user_key, i))) ELSE 0 END) AS BIGINT) AS saved FROM p GROUP BY 1")
+def block_prefixes(spark, sf_dir):
+    """what prefix coding with restarts saves, by file."""
+    log = events_log(spark, sf_dir).withColumn("file_number", F.floor((F.col("seq") - 1) / FILE_ROWS))
+    return compaction.shared_prefixes(log)
+
+
+FOLD = f"{DOCS}, c AS (SELECT seq, 36 + strlen(user_key) + strlen(value) AS size FROM d), b AS (SELECT seq, size, CAST(coalesce(sum(size) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM c), g AS (SELECT CAST(0 AS BIGINT) AS generation, CAST(0 AS BIGINT) AS low UNION ALL SELECT generation + 1, (SELECT min(before) FROM b WHERE before >= g.low + 65536) FROM g WHERE EXISTS (SELECT 1 FROM b WHERE before >= g.low + 65536)), e AS (SELECT generation, low, lead(low) OVER (ORDER BY generation) AS high FROM g), r AS (SELECT generation, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM b JOIN e ON before >= low AND (high IS NULL OR before < high) GROUP BY 1)".replace("WITH d", "WITH RECURSIVE d")
+
+
+@query(f"{FOLD} SELECT * FROM r")
+def write_generations(spark, sf_dir):
+    """Generations of a memtable of 64 KiB."""
+    return oplog.generations(documents_log(spark, sf_dir), 1 << 16).groupBy("generation").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
+@query(f"{FOLD} SELECT 'always' AS policy, CAST(sum(n) AS BIGINT) AS syncs FROM r UNION ALL SELECT 'periodic', count(*) FROM r WHERE bytes >= 65536 UNION ALL SELECT 'never', 0")
+def sync_counts(spark, sf_dir):
+    """Syncs under each policy."""
+    return oplog.sync_counts(documents_log(spark, sf_dir), 1 << 16)
+
+
+@query("SELECT event_id + 1 AS seq, printf('user%019d', user_id) AS user_key, (event_id + 1) * 256 + CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS tag, event_id + 1 AS \"offset\", event_id + 1 AS payload_seq, CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS value FROM events")
 def codec_round_trip(spark, sf_dir):
     """Keys, pointers and payloads encoded and decoded."""
-    log = events_log(spark, sf_dir).withColumn("value", F.col("value").cast("string"))
+    e = table(spark, sf_dir, "events")
+    log = oplog.oplog(e, codec.make_key(F.col("user_id")), F.col("event_id") + 1, F.col("event_type"), F.coalesce(F.col("event_type") == "error", F.lit(False)))
     user, tag = codec.split_internal_key(codec.internal_key(F.col("user_key"), F.col("seq"), F.col("type")))
     pointer = codec.read_pointer(codec.value_pointer(F.lit(42), F.col("seq"), F.lit(9999)))
     payload = codec.parse_payload(codec.log_payload(F.col("seq"), F.col("type"), F.col("user_key"), F.col("value")))
     return log.select("seq", user.cast("string").alias("user_key"), tag.cast("long").alias("tag"), pointer["offset"].cast("long").alias("offset"), payload["seq"].cast("long").alias("payload_seq"), payload["value"].cast("string").alias("value"))
 
 
+@query("WITH c AS (SELECT event_id AS request, user_id, event_type, event_id % 5 AS kind FROM events), s AS (SELECT *, last_value(CASE WHEN kind = 0 THEN event_type WHEN kind = 3 THEN '' END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY request ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM c), v AS (SELECT *, coalesce(held, '') <> '' AS live FROM s) SELECT request, CASE kind WHEN 0 THEN '+OK' WHEN 1 THEN CASE WHEN live THEN '$' || strlen(held) || chr(13) || chr(10) || held ELSE '$-1' END WHEN 2 THEN CASE WHEN live THEN ':2' ELSE ':0' END WHEN 3 THEN CASE WHEN live THEN ':1' ELSE ':0' END ELSE '+PONG' END || chr(13) || chr(10) AS reply FROM v")
+def command_replay(spark, sf_dir):
+    """P5: replies to a history of commands."""
+    e = table(spark, sf_dir, "events")
+    key = codec.make_key(F.col("user_id"))
+    kind = F.col("event_id") % 5
+    args = F.when(kind == 0, F.array(F.lit("SET"), key, F.col("event_type"))).when(kind == 1, F.array(F.lit("get"), key)).when(kind == 2, F.array(F.lit("EXISTS"), key, key)).when(kind == 3, F.array(F.lit("DEL"), key, key)).otherwise(F.array(F.lit("PING")))
+    return resp.replay(e.select(F.col("event_id").alias("request"), args.alias("args")))
+
+
+def _mixed(name: str) -> str:
+    """SQL: the operation of a roll under a workload's mix."""
+    reach, out = 0, []
+    for op, share in zip(workload.OPS, workload.WORKLOADS[name]):
+        reach += share
+        out.append(f"WHEN roll < {reach} THEN '{op}'")
+    return "CASE " + " ".join(out) + " END"
+
+
+RUNS = " UNION ALL ".join(f"SELECT '{w}' AS workload, op_id, item, user_key, length, {_mixed(w)} AS op FROM q" for w in workload.WORKLOADS)
+
+
+@query(f"{OP}, {LIVE}, q AS (SELECT o_orderkey AS op_id, o_custkey AS item, printf('user%019d', o_custkey) AS user_key, 1 + o_orderkey % 100 AS length, o_orderkey * 7919 % 100 AS roll FROM orders), r AS ({RUNS}), top AS (SELECT user_key, type FROM (SELECT *, {RANK} AS rn FROM op) WHERE rn = 1), num AS (SELECT list(CAST(substr(user_key, 5) AS BIGINT)) AS nums FROM live), a AS (SELECT workload, op, CASE WHEN op IN ('update', 'insert') THEN 'written' WHEN op = 'scan' THEN NULL WHEN type IS NULL THEN 'missing' WHEN type = 0 THEN 'deleted' ELSE 'found' END AS status, CASE WHEN op = 'scan' THEN least(length, len(list_filter(nums, lambda x: x >= item))) END AS n FROM r LEFT JOIN top USING (user_key), num) SELECT workload, op, status, count(*) AS ops, CAST(sum(n) AS BIGINT) AS records FROM a GROUP BY 1, 2, 3")
+def workload_runs(spark, sf_dir):
+    """One batch of each workload, executed on the events log."""
+    o = table(spark, sf_dir, "orders")
+    drawn = o.select(F.col("o_orderkey").alias("op_id"), F.col("o_custkey").alias("item"), codec.make_key(F.col("o_custkey")).alias("user_key"), (1 + F.col("o_orderkey") % 100).alias("length"), (F.col("o_orderkey") * 7919 % 100).alias("roll"))
+    out = None
+    for name in workload.WORKLOADS:
+        ops = drawn.withColumn("op", workload.operation(F.col("roll"), name)).withColumn("value", F.lit(1.0))
+        answers = workload.run_batch(events_log(spark, sf_dir), ops)[0].groupBy("op", "status").agg(F.count("*").alias("ops"), F.sum("n").alias("records")).withColumn("workload", F.lit(name))
+        out = answers if out is None else out.unionByName(answers)
+    return out
+
+
+# Without a SQL form: tested against independent models.
+
+
+@query()
+def crc32_values(spark, sf_dir):
+    """Checksums of texts."""
+    return table(spark, sf_dir, "documents").select("doc_id", codec.crc32(F.encode("text", "utf-8")).alias("crc"))
+
+
 @query()
 def bloom_probe(spark, sf_dir):
     """filters of each file, probed with present and absent keys."""
@@ -538,8 +642,8 @@ def bloom_probe(spark, sf_dir):
 
 @query()
 def make_value(spark, sf_dir):
-    """Pseudo-random values."""
-    return spark.range(100).select("id", F.hex(workload.make_value(F.col("id"), 64)).alias("value"))
+    """Pseudo-random values, one an event."""
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.hex(workload.make_value(F.col("event_id"), 64)).alias("value"))
 
 
 @query()
@@ -552,20 +656,11 @@ def resp_parse(spark, sf_dir):
     return resp.parse_chunks(chunks).select("connection", "request", F.transform("args", lambda a: a.cast("string")).alias("args"), "error")
 
 
-@query()
-def command_replay(spark, sf_dir):
-    """P5: replies to a history of commands."""
-    e = table(spark, sf_dir, "events")
-    key = codec.make_key(F.col("user_id"))
-    kind = F.col("event_id") % 5
-    args = F.when(kind == 0, F.array(F.lit("SET"), key, F.col("event_type"))).when(kind == 1, F.array(F.lit("get"), key)).when(kind == 2, F.array(F.lit("EXISTS"), key, key)).when(kind == 3, F.array(F.lit("DEL"), key, key)).otherwise(F.array(F.lit("PING")))
-    return resp.replay(e.select(F.col("event_id").alias("request"), args.alias("args")))
-
-
 @query()
 def ycsb_operations(spark, sf_dir):
     """A generated run of each mix, counted."""
-    runs = [workload.operations(spark, w, 1000, 2000).select(F.lit(w).alias("workload"), "op", "item", "length") for w in "ABCDEF"]
+    records, count = table(spark, sf_dir, "orders").count(), table(spark, sf_dir, "events").count()
+    runs = [workload.operations(spark, w, records, count).select(F.lit(w).alias("workload"), "op", "item", "length") for w in "ABCDEF"]
     both = runs[0]
     for r in runs[1:]:
         both = both.unionByName(r)
@@ -573,14 +668,20 @@ def ycsb_operations(spark, sf_dir):
 
 
 @query()
-def write_generations(spark, sf_dir):
-    """Generations of a memtable of 64 KiB."""
-    return oplog.generations(documents_log(spark, sf_dir), 1 << 16).groupBy("generation").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+def bloom_blocks(spark, sf_dir):
+    """a filter for each block of 64 entries of a file, probed with its own and with absent keys."""
+    log = events_log(spark, sf_dir).withColumn("file_number", F.floor((F.col("seq") - 1) / FILE_ROWS))
+    place = Window.partitionBy("file_number").orderBy("user_key", F.desc("seq"))
+    blocks = log.withColumn("block", F.concat_ws(":", "file_number", F.floor((F.row_number().over(place) - 1) / 64)))
+    filters = bloom.build_filters(blocks, "block")
+    keys = blocks.select("block", "user_key").distinct()
+    both = keys.withColumn("present", F.lit(True)).unionByName(keys.select("block", F.concat("user_key", F.lit("x")).alias("user_key"), F.lit(False).alias("present")))
+    hit = both.join(filters, "block").withColumn("hit", bloom.probe(F.col("filter"), F.col("user_key")))
+    return hit.groupBy("block", "present").agg(F.count("*").alias("n"), F.sum(F.col("hit").cast("long")).alias("hits"))
 
 
 @query()
-def order_violations(spark, sf_dir):
-    """Neighbours out of internal-key order in a table (none)."""
-    w = Window.partitionBy("user_key").orderBy(F.col("seq").desc(), F.col("type").desc())
-    log = events_log(spark, sf_dir).withColumn("above", F.lag("seq").over(w))
-    return log.agg(F.coalesce(F.sum((F.col("above") <= F.col("seq")).cast("long")), F.lit(0)).alias("violations"))
+def lru_cache(spark, sf_dir):
+    """Hits and misses of a sharded cache over the events' keys."""
+    e = table(spark, sf_dir, "events")
+    return workload.lru(e.select(F.col("event_id").alias("place"), F.col("user_id").alias("key"), (1 + F.col("user_id") % 3).alias("weight")), 16, 160)

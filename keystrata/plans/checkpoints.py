@@ -63,6 +63,7 @@ def running_sum(df: DataFrame, order: str, column: str, name: str) -> DataFrame:
     dealt = dealt_by_range(df, order)
     totals = dealt.groupBy("part").agg(F.sum(column).alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("start"))
+    starts = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("__start"))
     inside = Window.partitionBy("part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return dealt.join(F.broadcast(starts), "part").withColumn(name, F.col("start") + F.coalesce(F.sum(column).over(inside), F.lit(0))).drop("part", "start")
+    own = F.coalesce(F.sum(column).over(inside), F.lit(0))
+    return dealt.join(F.broadcast(starts), "part").withColumn(name, F.col("__start") + own).drop("part", "__start")

@@ -171,3 +171,66 @@ def write_amplification(log_bytes: Column, table_bytes: Column, vlog_bytes: Colu
 def log_bytes(payload: Column, header: int = 9) -> Column:
     """Bytes of a log record with one header; fragments at block ends add more."""
     return payload + header
+
+
+def run_batch(log: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(answers, written versions) of a batch of operations on a log.
+
+    A batch reads the snapshot it began with; its writes become visible together,
+    in order of op_id.  Answers: op_id, op, status of the key that is read or
+    read and modified, and the number of records a scan returns: live keys from
+    its item on, by key number, ``length`` of them at most.
+    """
+    from keystrata.operators import oplog
+    from keystrata.operators.reads import latest, lookup, range_counts
+
+    wanted = ops.where(F.col("op").isin("read", "rmw")).select("op_id", "op", "user_key")
+    status = lookup(log, wanted.select("user_key").distinct()).select("user_key", "status")
+    answered = wanted.join(status, "user_key").select("op_id", "op", "status", F.lit(None).cast("long").alias("n"))
+    # Records from an item on: all live keys there, cut at the length.
+    scans = ops.where(F.col("op") == "scan")
+    ranges = scans.select("op_id", F.col("item").alias("first"), (F.lit(2**62) - F.col("item")).alias("length"))
+    counted = range_counts(latest(log), ranges, F.substring("user_key", 5, 19))
+    scanned = scans.join(counted, "op_id").select("op_id", "op", F.lit(None).cast("string").alias("status"), F.least("n", "length").alias("n"))
+    writes = ops.where(F.col("op").isin("update", "insert", "rmw"))
+    done = writes.where(F.col("op") != "rmw").select("op_id", "op", F.lit("written").alias("status"), F.lit(None).cast("long").alias("n"))
+    put = writes.select("user_key", F.lit(oplog.VALUE).alias("type"), "value", F.col("op_id").alias("arrival"))
+    return answered.unionByName(scanned).unionByName(done), put
+
+
+def lru(accesses: DataFrame, shards: int, capacity: int) -> DataFrame:
+    """shard, hits and misses of a sharded cache that drops the least recently used.
+
+    ``accesses``: place (order), key, weight.  A missed key is put in; one that
+    is heavier than the whole cache isn't; a shard drops entries until it is
+    within its share.  Shards run apart; within one, accesses go in order, so a shard
+    is one task that holds its accesses: deal a long trace over many shards.
+    """
+    import pyarrow as pa
+
+    share = max(capacity // shards, 1)
+
+    def run(key, batches):
+        held: dict = {}
+        weight = hits = misses = 0
+        for batch in batches:
+            for k, w in zip(batch.column("key").to_pylist(), batch.column("weight").to_pylist()):
+                if k in held:
+                    hits += 1
+                    held[k] = held.pop(k)
+                    continue
+                misses += 1
+                if w > capacity:
+                    continue
+                held[k], weight = w, weight + w
+                while weight > share and held:
+                    weight -= held.pop(next(iter(held)))
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([hits]), pa.array([misses])], ["shard", "hits", "misses"])
+
+    dealt = accesses.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "place", "key", F.col("weight").cast("long").alias("weight"))
+
+    def grouped(table: pa.Table) -> pa.Table:
+        rows = run((table.column("shard")[0],), table.sort_by("place").to_batches())
+        return pa.Table.from_batches(list(rows))
+
+    return dealt.groupBy("shard").applyInArrow(grouped, "shard int, hits long, misses long")
