@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.llm.textkernel import ASCII_LOWER, GOLD, mix64, ranges, released, slices, small_batches, text_buffers, window_hashes, word_hashes, word_spans
-from keystrata.plans.checkpoints import forget, own_folder, written
+from keystrata.plans.checkpoints import own_folder, written
 
 #: 32 bands of 5 rows: a pair of similarity 0.85 is missed with chance 1e-8, one
 #: of 0.8 with chance 3e-6.
@@ -150,43 +150,44 @@ def describe(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 def close(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root): connected components, each named by its least node.
 
-    Alternating large-star and small-star steps on (a, b) edges until nothing
-    changes; each round is written down and the one before deleted.  Minima are
-    written down before they are joined, so that Spark can split the edges of a
-    hub.  Roots and nodes without an edge do not appear as nodes.
+    Alternating large-star and small-star steps on (a, b) edges until every node
+    has one root.  Each round is cut from its lineage by checkpoints; every third
+    is written to files instead, as checkpoints keep estimated sizes, which joins
+    multiply.  Minima are written down before they are joined, so that Spark can
+    split the edges of a hub.  Roots and nodes without an edge do not appear as
+    nodes.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = state(now)
-    for _ in range(rounds):
+    own_folder(edges.sparkSession)
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    for k in range(rounds):
+        if settled(now):
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         # Large star: neighbours above a node move to its least neighbour.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).checkpoint()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().checkpoint()
         # Small star: a node and its lower neighbours move to the least of them.
-        low = written(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        last, now = now, written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        forget(last, least, large, low)
-        after = state(now)
-        if after == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = after
+        edges = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        now = written(edges) if k % 3 == 2 else edges.checkpoint()
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def state(edges: DataFrame) -> tuple:
-    """A fingerprint of a set of edges."""
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+def settled(edges: DataFrame) -> bool:
+    """Whether every node has one root, which has none itself."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
-def confirm(keys: np.ndarray, off: np.ndarray, ids: np.ndarray, percent: int, part: np.ndarray | None = None, block: np.ndarray | None = None) -> list[tuple[int, int]]:
+def confirm(keys: np.ndarray, off: np.ndarray, ids: np.ndarray, percent: int, part: np.ndarray | None = None, blocks: tuple[np.ndarray, ...] = ()) -> list[tuple[int, int]]:
     """Links (a forest of them) between sets that reach the similarity.
 
     Each set in turn is held against all later ones that it isn't connected
     with yet, in one vectorised pass over their elements; once all are
     connected, nothing is left to do.  So a group of near copies costs a pass
     or two, and sets that stay apart are compared exactly.  Sets of one ``part``
-    are known to be connected, those of one ``block`` to have been compared.
+    are known to be connected; those of one block, by any of ``blocks``, are compared elsewhere.
     """
     n, sizes = len(off) - 1, np.diff(off)
     universe, elem = np.unique(keys, return_inverse=True)
@@ -199,7 +200,9 @@ def confirm(keys: np.ndarray, off: np.ndarray, ids: np.ndarray, percent: int, pa
                 break
             continue
         near = (100 * np.minimum(sizes[later], sizes[p])) >= percent * np.maximum(sizes[later], sizes[p])
-        later = later[near if block is None else near & (block[later] != block[p])]
+        for block in blocks:
+            near &= block[later] != block[p]
+        later = later[near]
         if len(later) == 0:
             continue
         held[elem[off[p] : off[p + 1]]] = True
@@ -218,7 +221,11 @@ def confirm(keys: np.ndarray, off: np.ndarray, ids: np.ndarray, percent: int, pa
 
 
 def verified(tasks: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) between the members (rep, text, part, block) of each (root, task)."""
+    """Links (a, b) between the members (rep, text, part, block, wide) of each (root, task).
+
+    Members of one ``block`` have been compared; so are, in other tasks, those of
+    one ``wide`` block where a task has two.
+    """
 
     def verify(table: pa.Table) -> pa.Table:
         table = table.sort_by("rep").combine_chunks()
@@ -226,8 +233,8 @@ def verified(tasks: DataFrame, size: int, percent: int) -> DataFrame:
         fresh = np.concatenate([[True], ids[1:] != ids[:-1]])
         table, ids = table.filter(pa.array(fresh)).combine_chunks(), ids[fresh]
         keys, off = shingle_sets(table.column("text").combine_chunks(), size)
-        block = table.column("block").to_numpy()
-        links = confirm(keys, off, ids, percent, table.column("part").to_numpy(), None if (block == block[0]).all() else block)
+        kinds = [table.column(k).to_numpy() for k in ("block", "wide")]
+        links = confirm(keys, off, ids, percent, table.column("part").to_numpy(), tuple(k for k in kinds if (k != k[0]).any()))
         a, b = zip(*links) if links else ((), ())
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -236,32 +243,38 @@ def verified(tasks: DataFrame, size: int, percent: int) -> DataFrame:
 
 def confirmed(docs: DataFrame, members: DataFrame, size: int, percent: int, block_items: int) -> DataFrame:
     """(node, root) of the components that exact links make within the clusters."""
+    zero = F.lit(0)
 
     def with_texts(placed):
-        return docs.join(placed, docs.doc_id == placed.rep).select("rep", "text", "root", "task", "part", "block")
+        return docs.join(placed, docs.doc_id == placed.rep).select("rep", "text", "root", "task", "part", "block", "wide")
 
-    placed = blocks(members, block_items).checkpoint()
-    links = verified(with_texts(placed.select("rep", "root", F.col("block").cast("long").alias("task"), F.col("rep").alias("part"), "block")), size, percent)
+    # A fourth of a block: nothing is copied here, and copies end here.
+    placed = blocks(members, max(block_items // 4, 1), "block").checkpoint()
+    links = verified(with_texts(placed.select("rep", "root", F.col("block").alias("task"), F.col("rep").alias("part"), zero.alias("block"), zero.alias("wide"))), size, percent)
     roots = close(links)
-    large = placed.where("blocks > 1").drop("block", "blocks")
+    large = placed.where("blocks > 1").drop("blocks")
     if large.isEmpty():
         return roots
+
+    def parted(roots):
+        own = roots.select(F.col("node").alias("rep"), F.col("root").alias("own"))
+        return large.join(own, "rep", "left").select("rep", "root", "n_shingles", "block", F.coalesce("own", "rep").alias("part"))
+
     # The least members of the components of a large cluster.
-    parts = large.join(roots, large.rep == roots.node, "left").select("rep", large.root.alias("root"), "n_shingles", F.coalesce(roots.root, "rep").alias("part"))
-    least = blocks(parts.where("rep = part"), block_items)
-    links = links.unionByName(verified(with_texts(least.select("rep", "root", F.col("block").cast("long").alias("task"), "part", "block")), size, percent))
+    least = blocks(parted(roots).where("rep = part"), block_items, "wide")
+    links = links.unionByName(verified(with_texts(least.select("rep", "root", F.col("wide").alias("task"), "part", zero.alias("block"), zero.alias("wide"))), size, percent))
     roots = close(links)
-    parts = large.join(roots, large.rep == roots.node, "left").select("rep", large.root.alias("root"), "n_shingles", F.coalesce(roots.root, "rep").alias("part")).checkpoint()
+    parts = parted(roots).checkpoint()
     # Clusters in parts: what is left are pairs of parts in different blocks.
-    open_ = parts.groupBy("root").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("root").checkpoint()
-    if open_.isEmpty():
+    apart = parts.groupBy("root").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("root").checkpoint()
+    if apart.isEmpty():
         return roots
-    rest = placed.select("rep", "block", "blocks").join(parts.join(open_, "root", "left_semi"), "rep")
-    tasks = with_texts(rest.select("rep", "root", "part", "block", F.explode(pairs_of(F.col("block"), F.col("blocks"))).alias("task")))
+    rest = blocks(parts.join(apart, "root", "left_semi"), block_items, "wide")
+    tasks = with_texts(rest.select("rep", "root", "part", "block", "wide", F.explode(pairs_of(F.col("wide"), F.col("blocks"))).alias("task")))
     return close(links.unionByName(verified(tasks, size, percent)))
 
 
-def components(docs: DataFrame, size: int = 3, percent: int = 85, bands: int = BANDS, rows: int = ROWS, block_items: int = 200_000) -> DataFrame:
+def components(docs: DataFrame, size: int = 3, percent: int = 85, bands: int = BANDS, rows: int = ROWS, block_items: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
     Two documents are linked when their shingle sets reach a Jaccard similarity
@@ -300,8 +313,8 @@ def keep_representatives(docs: DataFrame, **how) -> DataFrame:
     return docs.join(dropped, docs.doc_id == dropped.dropped_id, "left_anti")
 
 
-def blocks(members: DataFrame, block_items: int) -> DataFrame:
-    """Adds block (number) and blocks (how many) to the members of a cluster.
+def blocks(members: DataFrame, block_items: int, name: str) -> DataFrame:
+    """Adds a block's number, as ``name``, and blocks (how many) to the members of a cluster.
 
     Small clusters have one block; members of larger ones are dealt by a hash
     of their id, so no cluster has to be sorted in one task.
@@ -309,13 +322,12 @@ def blocks(members: DataFrame, block_items: int) -> DataFrame:
     totals = members.groupBy("root").agg(F.sum("n_shingles").alias("items"))
     count = F.ceil(F.col("items") / F.lit(block_items)).cast("int")
     out = members.join(totals.select("root", count.alias("blocks")), "root")
-    return out.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    return out.withColumn(name, F.pmod(F.xxhash64(F.lit(name), "rep"), F.col("blocks")).cast("long"))
 
 
 def pairs_of(block, blocks):
-    """Numbers of the block pairs that hold a block; one block: pair 0 alone.
+    """Numbers of the tasks that hold a block: one with itself and one with each other.
 
-    Pair (i, j) with i < j has number i * blocks + j.
+    The task of blocks i and j, i <= j, has number i * blocks + j.
     """
-    others = F.filter(F.sequence(F.lit(0), blocks - 1), lambda x: x != block)
-    return F.when(blocks == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(others, lambda x: (F.least(x, block) * blocks + F.greatest(x, block)).cast("long")))
+    return F.transform(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1), lambda x: F.least(x, block) * blocks + F.greatest(x, block))
