@@ -4,6 +4,7 @@ The parser is an ordered fold over the chunks of a connection, so it runs per
 connection (batch: applyInArrow; stream: keyed state); connections run apart.
 """
 
+import re
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from keystrata.functions.codec import MAX_ARGS, MAX_BULK, MAX_HEADER_LINE, MAX_INLINE, bulk, error, integer, lower_ascii, simple
 
 DIGITS = frozenset(b"0123456789")
+HEADER_ARRAY, HEADER_BULK = b"*$"
 SAFE_NUMBER = 1 << 63
 
 
@@ -28,21 +30,48 @@ def number(raw: bytes) -> int | None:
     return n if n < SAFE_NUMBER else None
 
 
+#: For each header sign, its largest number and the messages of a
+#: header that is too long and of one that is no such number.
+HEADERS = {
+    b"*": (MAX_ARGS, "Protocol error: too big multibulk length", "Protocol error: invalid multibulk length"),
+    b"$": (MAX_BULK, "Protocol error: invalid bulk length", "Protocol error: invalid bulk length"),
+}
+
+
 @dataclass
 class Parser:
-    """Requests out of chunks, however they are cut."""
+    """Requests out of chunks, however they are cut.
+
+    A cursor moves over the buffer; what it has passed is dropped once a chunk.
+    Between chunks the state is the unread rest, how many arguments are still
+    missing, and those that are there.
+    """
 
     buffer: bytearray = field(default_factory=bytearray)
     #: Arguments still missing in the current request; None outside of one.
     missing: int | None = None
     args: list[bytes] = field(default_factory=list)
+    at: int = 0
+    failed: str | None = None
 
     def feed(self, chunk: bytes) -> list[list[bytes]]:
-        """All requests that are complete with this chunk."""
+        """All requests that are complete with this chunk.
+
+        Those before a fault are returned first; the fault is raised when there
+        are none, by the next call if need be.
+        """
+        out: list[list[bytes]] = []
         self.buffer += chunk
-        out = []
-        while (request := self.step()) is not None:
-            out.append(request)
+        if self.failed is None:
+            try:
+                while self.advance(out):
+                    pass
+            except ProtocolError as e:
+                self.failed = str(e)
+            del self.buffer[: self.at]
+            self.at = 0
+        if self.failed is not None and not out:
+            raise ProtocolError(self.failed)
         return out
 
     def pending(self) -> int:
@@ -50,65 +79,69 @@ class Parser:
 
     def reset(self) -> None:
         self.buffer.clear()
-        self.missing, self.args = None, []
-
-    def step(self) -> list[bytes] | None:
-        while True:
-            if self.missing is None:
-                drop = len(self.buffer) - len(self.buffer.lstrip(b"\r\n"))
-                del self.buffer[:drop]
-                if not self.buffer:
-                    return None
-                if self.buffer[0] != ord("*"):
-                    return self.inline()
-                n = self.header("too big multibulk length", "invalid multibulk length", MAX_ARGS)
-                if n is None:
-                    return None
-                self.missing, self.args = (n or None), []
-                continue
-            if not self.buffer:
-                return None
-            if self.buffer[0] != ord("$"):
-                raise ProtocolError(f"Protocol error: expected '$', got '{chr(self.buffer[0])}'")
-            line = self.buffer.find(b"\r\n", 1)
-            size = self.header("invalid bulk length", "invalid bulk length", MAX_BULK, consume=False)
-            if size is None or len(self.buffer) < line + 2 + size + 2:
-                return None
-            end = line + 2 + size
-            if self.buffer[end : end + 2] != b"\r\n":
-                raise ProtocolError("Protocol error: bulk string missing terminator")
-            self.args.append(bytes(self.buffer[line + 2 : end]))
-            del self.buffer[: end + 2]
-            self.missing -= 1
-            if self.missing == 0:
-                self.missing = None
-                return self.args
-
-    def header(self, too_long: str, invalid: str, most: int, consume: bool = True) -> int | None:
-        """The number of a '*' or '$' line, None while it is incomplete."""
-        line = self.buffer.find(b"\r\n", 1)
-        if line < 0:
-            if len(self.buffer) > MAX_HEADER_LINE:
-                raise ProtocolError(f"Protocol error: {too_long}")
+        self.missing, self.args, self.at, self.failed = None, [], 0, None
+
+    def advance(self, out: list[list[bytes]]) -> bool:
+        """Read the next line or argument; whether there was a whole one."""
+        if self.missing is not None:
+            return self.argument(out)
+        while self.at < len(self.buffer) and self.buffer[self.at] in b"\r\n":
+            self.at += 1
+        if self.at == len(self.buffer):
+            return False
+        return self.array() if self.buffer[self.at] == HEADER_ARRAY else self.inline(out)
+
+    def header(self, sign: bytes) -> tuple[int, int] | None:
+        """(number, end) of the header at the cursor, None while its line is open."""
+        most, too_long, invalid = HEADERS[sign]
+        end = self.buffer.find(b"\r\n", self.at + 1)
+        if end < 0:
+            if len(self.buffer) - self.at > MAX_HEADER_LINE:
+                raise ProtocolError(too_long)
             return None
-        n = number(bytes(self.buffer[1:line]))
+        n = number(bytes(self.buffer[self.at + 1 : end]))
         if n is None or n > most:
-            raise ProtocolError(f"Protocol error: {invalid}")
-        if consume:
-            del self.buffer[: line + 2]
-        return n
-
-    def inline(self) -> list[bytes] | None:
-        """A line of words between spaces and tabs; a blank one gives nothing yet."""
-        line = self.buffer.find(b"\n")
-        if line < 0:
-            if len(self.buffer) > MAX_INLINE:
+            raise ProtocolError(invalid)
+        return n, end + 2
+
+    def array(self) -> bool:
+        if (head := self.header(b"*")) is None:
+            return False
+        # An array of no arguments is passed over.
+        self.missing, self.at = head[0] or None, head[1]
+        self.args = []
+        return True
+
+    def argument(self, out: list[list[bytes]]) -> bool:
+        if self.at == len(self.buffer):
+            return False
+        if self.buffer[self.at] != HEADER_BULK:
+            raise ProtocolError(f"Protocol error: expected '$', got '{chr(self.buffer[self.at])}'")
+        if (head := self.header(b"$")) is None:
+            return False
+        begin, end = head[1], head[1] + head[0]
+        if len(self.buffer) < end + 2:
+            return False
+        if self.buffer[end : end + 2] != b"\r\n":
+            raise ProtocolError("Protocol error: bulk string missing terminator")
+        self.args.append(bytes(self.buffer[begin:end]))
+        self.at, self.missing = end + 2, self.missing - 1
+        if not self.missing:
+            out.append(self.args)
+            self.missing, self.args = None, []
+        return True
+
+    def inline(self, out: list[list[bytes]]) -> bool:
+        """A line of words between spaces and tabs; a blank one is passed over."""
+        end = self.buffer.find(b"\n", self.at)
+        if end < 0:
+            if len(self.buffer) - self.at > MAX_INLINE:
                 raise ProtocolError("Protocol error: too big inline request")
-            return None
-        words = bytes(self.buffer[:line])
-        del self.buffer[: line + 1]
-        words = words[:-1] if words.endswith(b"\r") else words
-        return [w for w in words.replace(b"\t", b" ").split(b" ") if w] or None
+            return False
+        line, self.at = bytes(self.buffer[self.at : end]).removesuffix(b"\r"), end + 1
+        if words := [w for w in re.split(rb"[ \t]", line) if w]:
+            out.append(words)
+        return True
 
 
 REQUESTS = "connection long, request long, args array<binary>, error string"
@@ -124,7 +157,7 @@ def parse_chunks(chunks: DataFrame) -> DataFrame:
         table = table.sort_by("chunk_no")
         connection, parser, rows = table.column("connection")[0].as_py(), Parser(), []
         try:
-            for chunk in table.column("data").to_pylist():
+            for chunk in [*table.column("data").to_pylist(), b""]:
                 rows += [(args, None) for args in parser.feed(chunk or b"")]
         except ProtocolError as e:
             rows.append((None, str(e)))

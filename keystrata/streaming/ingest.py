@@ -49,7 +49,8 @@ def parse_stream(chunks: DataFrame) -> DataFrame:
         parser = Parser(bytearray(rest), missing if missing >= 0 else None, list(args))
         rows = []
         data = pd.concat(list(frames)).sort_values("chunk_no")["data"]
-        for chunk in [] if done else data:
+        # The empty chunk raises a fault that came behind whole requests.
+        for chunk in [] if done else [*data, b""]:
             try:
                 got = parser.feed(bytes(chunk))
             except ProtocolError as e:
