@@ -1,10 +1,11 @@
 """Value separation: large values live in value logs, the log keeps pointers."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.operators.oplog import VALUE
 from keystrata.operators.reads import latest
+from keystrata.plans.checkpoints import running_sum
 
 THRESHOLD, LEAST_THRESHOLD, ENTRY_HEADER = 1024, 64, 12
 POINTER_BYTES, POINTER_TAG = 21, "FF"
@@ -29,21 +30,15 @@ def split(log: DataFrame, vlog_number: int, threshold: int = THRESHOLD) -> tuple
     return kept.withColumn("value", F.when(F.col("pointer").isNull(), F.col("value"))), entries
 
 
-def offsets(entries: DataFrame, vlog_number: int = 1, block: int = 1 << 16) -> DataFrame:
+def offsets(entries: DataFrame, vlog_number: int = 1) -> DataFrame:
     """Entries of one value log with offset and value size, in seq order.
 
-    Running sums run in blocks of ``block`` sequence numbers; only the block
-    totals are summed in one place.
+    Running sums go by ranges of sequence numbers; of the ranges only the totals
+    meet.
     """
     taken = F.octet_length("user_key") + F.octet_length("value") + ENTRY_HEADER
-    sized = entries.withColumn("taken", taken.cast("long")).withColumn("block", F.floor(F.col("seq") / block))
-    totals = sized.groupBy("block").agg(F.sum("taken").alias("total"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    place = F.col("start") + F.coalesce(F.sum("taken").over(inside), F.lit(0))
-    placed = sized.join(starts, "block").withColumn("offset", place.cast("long"))
-    return placed.select(F.lit(vlog_number).cast("long").alias("vlog_number"), "offset", "user_key", "seq", "value", F.octet_length("value").cast("long").alias("size"), F.crc32(F.encode(F.col("value").cast("string"), "utf-8")).alias("crc"))
+    placed = running_sum(entries.withColumn("taken", taken.cast("long")), "seq", "taken", "offset")
+    return placed.select(F.lit(vlog_number).cast("long").alias("vlog_number"), F.col("offset").cast("long").alias("offset"), "user_key", "seq", "value", F.octet_length("value").cast("long").alias("size"), F.crc32(F.encode(F.col("value").cast("string"), "utf-8")).alias("crc"))
 
 
 def resolve(rows: DataFrame, values: DataFrame) -> DataFrame:

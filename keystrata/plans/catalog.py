@@ -4,12 +4,17 @@ Tables stand for a store's contents: ``events`` and ``orders`` are operation
 logs, ``documents`` are values to separate.  Constants are the queries' own.
 """
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keystrata.functions import bloom, codec, resp
 from keystrata.operators import compaction, oplog, reads, vsep
 from keystrata.plans import workload
+from keystrata.plans.checkpoints import own_folder
+from keystrata.sources import logfile
+from keystrata.sources.store import Store
 
 SNAPSHOT, SNAPSHOTS, FILE_ROWS = 5000, [1000, 5000, 9000], 1250
 BEGIN, END = "user0000000000000000003", "user0000000000000000009"
@@ -620,6 +625,47 @@ def workload_runs(spark, sf_dir):
     return out
 
 
+@query("SELECT printf('user%019d', user_id) AS user_key, event_id + 1 AS seq, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS type, CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS value FROM events")
+def log_replay(spark, sf_dir):
+    """The events as record logs, written and read back."""
+    e = table(spark, sf_dir, "events")
+    log = oplog.oplog(e, codec.make_key(F.col("user_id")), F.col("event_id") + 1, F.col("event_type"), F.coalesce(F.col("event_type") == "error", F.lit(False)))
+    paths = logfile.write_logs(log, f"{own_folder(spark)}/logs-{uuid.uuid4().hex}")
+    found = logfile.read_logs(spark, paths)
+    return found.select(F.col("user_key").cast("string").alias("user_key"), "seq", "type", F.col("value").cast("string").alias("value"))
+
+
+def stored(spark, sf_dir) -> Store:
+    """Documents in a store: 400 keys, every seventh deleted, through flush, compaction and collection."""
+    store = Store(spark, f"{own_folder(spark)}/store-{uuid.uuid4().hex}", threshold=1024, l0_trigger=1, gc_size=1, max_table=100_000)
+    d = table(spark, sf_dir, "documents").where("text is not null").withColumn("k", F.col("doc_id") % 400)
+    for half in (0, 1):
+        store.put(d.where(F.col("doc_id") % 2 == half).select(codec.make_key(F.col("k")).alias("user_key"), F.col("text").alias("value"), F.col("doc_id").alias("arrival")))
+        store.flush()
+    store.delete(d.where("k % 7 = 0").select("k").distinct().select(codec.make_key(F.col("k")).alias("user_key"), F.col("k").alias("arrival")))
+    store.maintain()
+    return store
+
+
+HELD = "WITH d AS (SELECT doc_id % 400 AS k, doc_id, text FROM documents WHERE text IS NOT NULL), h AS (SELECT k, arg_max(text, (doc_id % 2) * 1000000000000 + doc_id) AS value FROM d WHERE k % 7 <> 0 GROUP BY 1)"
+
+
+@query(f"{HELD} SELECT printf('user%019d', k) AS user_key, md5(value) AS value_md5, 'ok' AS status FROM h")
+def store_scan(spark, sf_dir):
+    """All live keys of a store after maintenance, values fetched through pointers."""
+    return stored(spark, sf_dir).scan("", "v").select("user_key", F.md5("value").alias("value_md5"), "status")
+
+
+@query(f"{HELD}, w AS (SELECT DISTINCT o_custkey AS k FROM orders), a AS (SELECT DISTINCT k FROM d) SELECT printf('user%019d', w.k) AS user_key, CASE WHEN h.k IS NOT NULL THEN 'found' WHEN a.k IS NOT NULL THEN 'deleted' ELSE 'missing' END AS status, md5(value) AS value_md5 FROM w LEFT JOIN h USING (k) LEFT JOIN a USING (k)")
+def store_lookup(spark, sf_dir):
+    """A batch of keys looked up in a store, values fetched through pointers."""
+    found = stored(spark, sf_dir).lookup(wanted(spark, sf_dir).distinct())
+    # What isn't live has been compacted away or is a tombstone.
+    held = table(spark, sf_dir, "documents").where("text is not null").select(codec.make_key(F.col("doc_id") % 400).alias("user_key")).distinct().withColumn("written", F.lit(True))
+    status = F.when((F.col("status") != "found") & F.col("written"), "deleted").otherwise(F.col("status"))
+    return found.join(held, "user_key", "left").select("user_key", status.alias("status"), F.md5("value").alias("value_md5"))
+
+
 # Without a SQL form: tested against independent models.
 
 

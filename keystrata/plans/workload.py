@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keystrata.functions.codec import make_key
-from keystrata.plans.checkpoints import dealt_by_range
+from keystrata.plans.checkpoints import dealt_by_range, running_sum
 
 #: Percent of reads, updates, inserts, scans, read-modify-writes.
 WORKLOADS = {"A": (50, 50, 0, 0, 0), "B": (95, 5, 0, 0, 0), "C": (100, 0, 0, 0, 0), "D": (95, 0, 5, 0, 0), "E": (0, 0, 5, 95, 0), "F": (0, 0, 0, 0, 100)}
@@ -30,19 +30,16 @@ def load(spark: SparkSession, records: int) -> DataFrame:
     return spark.range(records).select(F.col("id").alias("item"), make_key(F.col("id")).alias("user_key"))
 
 
-def zipf_cdf(items: DataFrame, theta: float = THETA, block: int = 1 << 16) -> DataFrame:
+def zipf_cdf(items: DataFrame, theta: float = THETA) -> DataFrame:
     """Cumulative probability of each ``item`` (0, 1, ...), the last exactly 1.
 
-    Sums run in blocks of items; only block totals meet.
+    Sums run in ranges of items; only range totals meet.
     """
-    weighed = items.select("item", F.pow((F.col("item") + 1).cast("double"), F.lit(-theta)).alias("p"), F.floor(F.col("item") / block).alias("block"))
-    totals = weighed.groupBy("block").agg(F.sum("p").alias("total"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("block", F.coalesce(F.sum("total").over(before), F.lit(0.0)).alias("start"), F.sum("total").over(Window.partitionBy(F.lit(0))).alias("whole"))
-    inside = Window.partitionBy("block").orderBy("item").rowsBetween(Window.unboundedPreceding, 0)
-    last = weighed.agg(F.max("item").alias("item"), F.lit(True).alias("is_last"))
-    out = weighed.join(F.broadcast(starts), "block").withColumn("cdf", (F.col("start") + F.sum("p").over(inside)) / F.col("whole"))
-    return out.join(F.broadcast(last), "item", "left").select("item", F.when(F.col("is_last"), 1.0).otherwise(F.col("cdf")).alias("cdf"))
+    weighed = items.select("item", F.pow((F.col("item") + 1).cast("double"), F.lit(-theta)).alias("p"))
+    placed = running_sum(weighed, "item", "p", "before")
+    whole = placed.agg(F.sum("p").alias("whole"), F.max("item").alias("last"))
+    out = placed.crossJoin(F.broadcast(whole))  # one row
+    return out.select("item", F.when(F.col("item") == F.col("last"), 1.0).otherwise((F.col("before") + F.col("p")) / F.col("whole")).alias("cdf"))
 
 
 def uniform(seed: int, *columns) -> Column:
@@ -101,13 +98,11 @@ def operations(spark: SparkSession, workload: str, records: int, count: int, see
     parts = max(1, min(count // 100_000 + 1, 10_000))
     ops = spark.range(0, count, 1, parts).select(F.col("id").alias("op_id"), F.pmod(F.xxhash64(F.lit(seed + 2), "id"), F.lit(100)).alias("roll"), uniform(seed, "id").alias("u"), uniform(seed + 3, "id").alias("v"))
     ops = ops.withColumn("op", operation(F.col("roll"), workload))
-    block = F.floor(F.col("op_id") / 100_000)
-    per = ops.groupBy(block.alias("block")).agg(F.sum((F.col("op") == "insert").cast("long")).alias("n"))
-    starts = per.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("block").orderBy("op_id").rowsBetween(Window.unboundedPreceding, -1)
-    ops = ops.withColumn("block", block).join(F.broadcast(starts), "block")
-    frontier = F.lit(records) + F.col("before") + F.coalesce(F.sum((F.col("op") == "insert").cast("long")).over(inside), F.lit(0))
-    ops = ops.withColumn("frontier", frontier)
+    if "insert" in (o for o, share in zip(OPS, WORKLOADS[workload]) if share):
+        ops = running_sum(ops.withColumn("one", (F.col("op") == "insert").cast("long")), "op_id", "one", "before")
+    else:
+        ops = ops.withColumn("before", F.lit(0).cast("long"))
+    ops = ops.withColumn("frontier", F.lit(records) + F.col("before"))
     if workload in LATEST_READS:
         newest = F.greatest(F.floor(F.col("frontier") / 10), F.lit(1))
         drawn = F.col("frontier") - newest + zipf_draw(F.col("u"), records // 10 + 1, theta) % newest

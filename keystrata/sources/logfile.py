@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.functions.codec import log_payload, parse_payload
+from keystrata.plans.checkpoints import dealt_by_range
 
 BLOCK, HEADER = 32768, 9
 FULL, FIRST, MIDDLE, LAST = 1, 2, 3, 4
@@ -97,3 +98,29 @@ def read_logs(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 def payloads(log: DataFrame) -> DataFrame:
     """(seq, payload) of a log, for writing with ``encode``."""
     return log.select("seq", log_payload(F.col("seq"), F.col("type"), F.col("user_key"), F.col("value")).alias("payload"))
+
+
+def write_logs(log: DataFrame, folder: str) -> list[str]:
+    """A log as record files ``<n>.log`` in order of seq; returns their paths.
+
+    Executors make the bytes of a file from a range of sequence numbers; the
+    driver, as the one writer, appends them file by file: each is written beside
+    its place and renamed, so readers see whole files.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        content = encode(table.sort_by("seq").column("payload").to_pylist())
+        return pa.table([table.column("part").slice(0, 1).cast(pa.int32()), pa.array([content], pa.binary())], names=["part", "content"])
+
+    ranges = dealt_by_range(payloads(log), "seq").groupBy("part").applyInArrow(run, "part int, content binary").orderBy("part")
+    sc, paths = log.sparkSession.sparkContext, []
+    place = sc._jvm.org.apache.hadoop.fs.Path
+    fs = place(folder).getFileSystem(sc._jsc.hadoopConfiguration())
+    for n, row in enumerate(ranges.toLocalIterator(), 1):
+        path = f"{folder.rstrip('/')}/{n:06}.log"
+        stream = fs.create(place(path + ".tmp"), True)
+        stream.write(row.content)
+        stream.close()
+        fs.rename(place(path + ".tmp"), place(path))
+        paths.append(path)
+    return paths
