@@ -153,8 +153,8 @@ def close(edges: DataFrame, rounds: int = 40) -> DataFrame:
     Alternating large-star and small-star steps on (a, b) edges until every node
     has one root.  Each round is cut from its lineage by checkpoints; every third
     is written to files instead, as checkpoints keep estimated sizes, which joins
-    multiply.  Minima are written down before they are joined, so that Spark can
-    split the edges of a hub.  Roots and nodes without an edge do not appear as
+    multiply.  The large star's minima are written down before they are joined, so
+    that Spark can split the edges of a hub.  Roots and nodes without an edge do not appear as
     nodes.
     """
     own_folder(edges.sparkSession)
@@ -167,7 +167,7 @@ def close(edges: DataFrame, rounds: int = 40) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).checkpoint()
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().checkpoint()
         # Small star: a node and its lower neighbours move to the least of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         now = written(edges) if k % 3 == 2 else edges.checkpoint()
@@ -248,8 +248,7 @@ def confirmed(docs: DataFrame, members: DataFrame, size: int, percent: int, bloc
     def with_texts(placed):
         return docs.join(placed, docs.doc_id == placed.rep).select("rep", "text", "root", "task", "part", "block", "wide")
 
-    # A fourth of a block: nothing is copied here, and copies end here.
-    placed = blocks(members, max(block_items // 4, 1), "block").checkpoint()
+    placed = blocks(members, block_items, "block").checkpoint()
     links = verified(with_texts(placed.select("rep", "root", F.col("block").alias("task"), F.col("rep").alias("part"), zero.alias("block"), zero.alias("wide"))), size, percent)
     roots = close(links)
     large = placed.where("blocks > 1").drop("blocks")
