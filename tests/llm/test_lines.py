@@ -3,6 +3,8 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from keystrata.llm import line_templates
@@ -18,8 +20,8 @@ def story(n=30):
     return " ".join(word() for _ in range(n))
 
 
-def brute(docs, least=10, similarity=0.7, depth=3):
-    """Texts without recurring lines, where no two documents are near copies."""
+def brute(docs, least=10, similarity=0.7, depth=3, copies=False):
+    """Texts without recurring lines; with ``copies``, near copies count once."""
     mask = lambda w: "\0" if any(c.isdigit() and c.isascii() for c in w) else w
     lines = []
     for i, text in enumerate(docs):
@@ -37,12 +39,32 @@ def brute(docs, least=10, similarity=0.7, depth=3):
         wild = min(int(len(t) * (1 - similarity) + 1e-9), max(len(t) - depth, 0))
         order = sorted(range(depth, len(t)), key=lambda p: (often[len(t), t[:depth], p, t[p]], p))
         shape[t] = (len(t), t[:depth], tuple((p, w) for p, w in enumerate(t) if p not in order[:wild]))
-    for i, _, t in lines:
-        found[shape[t]].add(i)
-    gone = {(i, k) for i, k, t in lines if len(found[shape[t]]) >= least}
+    slots = slots_of(docs) if copies else {}
+    for i, k, t in lines:
+        found[shape[t]].add(slots[i, k] if copies else i)
+    gone = {(i, k) for i, k, t in lines if (unled(found[shape[t]]) if copies else len(found[shape[t]])) >= least}
     return ["\n".join(x for k, x in enumerate(text.split("\n")) if (i, k) not in gone) for i, text in enumerate(docs)]
 
 
+def slots_of(docs):
+    """The MinHash slots of the other lines of every line with tokens."""
+    found = line_templates.lines_of(pa.array(docs, pa.string()), 3, 3)
+    n = found["count"]
+    tokens = np.concatenate([found["masked"][b : b + c] for b, c in zip(found["begin"], n)])
+    rows = line_templates.signatures(tokens, np.cumsum(n) - n, n, found["doc"])
+    return {(i, k): tuple(r) for i, k, r in zip(found["doc"].tolist(), found["line"].tolist(), rows.tolist())}
+
+
+def unled(signatures):
+    """Documents that share fewer than four slots with those before them."""
+    seen, out = defaultdict(set), 0
+    for s in sorted(signatures):
+        out += sum(v in seen[j] for j, v in enumerate(s)) < 4
+        for j, v in enumerate(s):
+            seen[j].add(v)
+    return out
+
+
 def kept(spark, docs, **how):
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
     return [r.text for r in line_templates.drop_recurring(df, **how).orderBy("doc_id").collect()]

@@ -3,7 +3,10 @@
 import hashlib
 
 import corpus_pipeline
-from tests.llm.test_operators import components
+from keystrata.llm import mixing
+from tests.llm.test_lines import brute
+from tests.llm.test_models import mixed
+from tests.llm.test_operators import components, statistics
 from tokenizers import Tokenizer
 
 FOLDER = "/root/testdata/sf0.001"
@@ -17,6 +20,18 @@ def test_stages(spark, tmp_path):
         rows[name] = {r.doc_id: r for r in docs.collect()}
         if k < 4:
             assert sorted(docs.columns) == sorted(corpus_pipeline.COLUMNS)
+        texts = {r.doc_id: r.text for r in before.collect()}
+        if name == "quality rules":
+            # The forest rejects a few more; what stays is unchanged.
+            measured = {i: statistics(t) for i, t in texts.items()}
+            passed = {i for i, (n, *_, repeated) in measured.items() if n >= 50 and 100 * repeated <= 50 * n}
+            assert set(rows[name]) <= passed and len(rows[name]) > 0.9 * len(passed) and all(r.text == texts[i] for i, r in rows[name].items())
+        if name == "line dedup":
+            ids = sorted(texts)
+            assert {i: r.text for i, r in rows[name].items()} == dict(zip(ids, brute([texts[i] for i in ids], copies=True)))
+        if name == "source mixing":
+            taken = mixed([(r.doc_id, r.text, r.lang, r.source) for r in before.collect()], mixing.WEIGHTS, corpus_pipeline.MIX["share"], corpus_pipeline.MIX["max_epochs"], corpus_pipeline.MIX["seed"])
+            assert set(rows[name]) == {i for i, (epochs, prefix) in taken.items() if epochs or prefix}
         if name == "minhash near-dedup":
             want = components({r.doc_id: r.text for r in before.collect()}, 5, 80)
             assert set(rows[name]) == {i for i, (_, _, kept) in want.items() if kept}
