@@ -177,7 +177,7 @@ def run_batch(log: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
     its item on, by key number, ``length`` of them at most.
     """
     from keystrata.operators import oplog
-    from keystrata.operators.reads import latest, lookup, range_counts
+    from keystrata.operators.reads import lookup, range_counts
 
     wanted = ops.where(F.col("op").isin("read", "rmw")).select("op_id", "op", "user_key")
     status = lookup(log, wanted.select("user_key").distinct()).select("user_key", "status")
@@ -185,7 +185,7 @@ def run_batch(log: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Records from an item on: all live keys there, cut at the length.
     scans = ops.where(F.col("op") == "scan")
     ranges = scans.select("op_id", F.col("item").alias("first"), (F.lit(2**62) - F.col("item")).alias("length"))
-    counted = range_counts(latest(log), ranges, F.substring("user_key", 5, 19))
+    counted = range_counts(log, ranges, F.substring("user_key", 5, 19))
     scanned = scans.join(counted, "op_id").select("op_id", "op", F.lit(None).cast("string").alias("status"), F.least("n", "length").alias("n"))
     writes = ops.where(F.col("op").isin("update", "insert", "rmw"))
     done = writes.where(F.col("op") != "rmw").select("op_id", "op", F.lit("written").alias("status"), F.lit(None).cast("long").alias("n"))
